@@ -32,7 +32,7 @@ def category_stats(spark, sf):
 # ---------------------------------------------------------------------------------------------
 SQL_TRENDING_TOPN = with_views("ve") + """
 SELECT video_id, channel_title, coalesce(category_name, 'Unknown') AS category_name, views, likes,
-       comments, publish_time, duration_seconds, engagement_score, region
+       comments, CAST(publish_time AS VARCHAR) AS publish_time, duration_seconds, engagement_score, region
 FROM ve WHERE region = 'EUROPE' AND category_id = '1'
 ORDER BY views DESC, video_id LIMIT 100
 """

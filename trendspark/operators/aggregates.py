@@ -187,13 +187,13 @@ def best_bucket_by_group(df: DataFrame, group: str = "category_name", seconds: s
 
 # --- A24: word frequency --------------------------------------------------------------------
 
-WORD_RUN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
+from trendspark.functions.text import WORD_RUN  # noqa: E402
 
 
 def word_frequency(df: DataFrame, text: str = "title", top_n: int = 30) -> DataFrame:
     """Words of >= 3 ASCII letters that form a whole word (lower case), top n.
 
-    A "whole word" is a maximal run of letters/marks/digits/underscore; it counts
+    A "whole word" is a maximal run of letters/numbers/underscore; it counts
     only if it is made of a-z alone. Explode then partial count before the shuffle.
     """
     runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RUN), 0)

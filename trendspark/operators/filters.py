@@ -85,7 +85,9 @@ def response_record(df: DataFrame, include_absent: bool = False) -> DataFrame:
     for name, default in RECORD_COLUMNS:
         if name in df.columns:
             col = F.col(name)
-            if default is not None:
+            if name == "publish_time":
+                col = col.cast("string")
+            elif default is not None:
                 col = F.coalesce(col, F.lit(default))
             cols.append(col.alias(name))
         elif include_absent:
