@@ -1,6 +1,6 @@
 """Registered queries (Spark) and their oracle SQL (DuckDB), keyed by name."""
 
-from trendspark.catalog import q_analytics, q_features, q_text  # noqa: F401  (registers queries)
+from trendspark.catalog import q_analytics, q_features, q_progress, q_text  # noqa: F401  (registers queries)
 from trendspark.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
