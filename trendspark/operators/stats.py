@@ -89,6 +89,11 @@ def _exact_quantile(v: DataFrame, p: float, buckets: int, final_rows: int) -> fl
     return a + (b - a) * frac
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson correlation that is null (not an ANSI divide-by-zero error) for a constant column."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row of mean and sample sd per column."""
     aggs = []
@@ -118,7 +123,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         aggs.append(F.stddev_pop(c).alias(f"sd__{c}"))
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
-            aggs.append(F.corr(a, b).alias(f"r__{a}__{b}"))
+            aggs.append(safe_corr(a, b).alias(f"r__{a}__{b}"))
     wide = df.agg(*aggs)
     rows = []
     for a in cols:
