@@ -147,18 +147,11 @@ def word_frequency_descriptions(spark, sf):
     return AG.word_frequency(texts(spark, sf), "description", 100)
 
 
-_WS_TRIM = f"'^[{TX.WS}]+|[{TX.WS}]+$'"
 SQL_TAGS = with_views("texts") + f"""
 SELECT doc_id, CAST(len(tags_list) AS INTEGER) AS tag_count,
        CASE WHEN len(tags_list) = 0 THEN 0.0
             ELSE list_avg(list_transform(tags_list, lambda x: length(x))) END AS tag_avg_length
-FROM (SELECT doc_id,
-        CASE WHEN s = '' THEN []::VARCHAR[]
-             WHEN starts_with(s, '[') AND ends_with(s, ']') AND try(CAST(json(s) AS VARCHAR[])) IS NOT NULL
-               THEN try(CAST(json(s) AS VARCHAR[]))
-             ELSE list_transform(string_split(s, ','), lambda x: regexp_replace(x, {_WS_TRIM}, '', 'g')) END
-        AS tags_list
-      FROM (SELECT doc_id, regexp_replace(coalesce(tags, ''), {_WS_TRIM}, '', 'g') AS s FROM texts))
+FROM (SELECT doc_id, {Q.parse_tags('tags')} AS tags_list FROM texts)
 """
 
 

@@ -129,3 +129,13 @@ def description_features(x: str = "description") -> list[str]:
     for p in S.SOCIAL_PLATFORMS:
         out.append(f"CASE WHEN instr(lower({t(x)}), {q(p)}) > 0 THEN 1 ELSE 0 END AS has_{p}_link")
     return out
+
+
+def parse_tags(x: str) -> str:
+    """F48 in SQL: blank -> []; valid JSON list -> list; else comma split with strip."""
+    trim = f"'^[{WS}]+|[{WS}]+$'"
+    s = f"regexp_replace(coalesce({x}, ''), {trim}, '', 'g')"
+    return (f"CASE WHEN {s} = '' THEN []::VARCHAR[] "
+            f"WHEN starts_with({s}, '[') AND ends_with({s}, ']') AND try(CAST(json({s}) AS VARCHAR[])) IS NOT NULL "
+            f"THEN try(CAST(json({s}) AS VARCHAR[])) "
+            f"ELSE list_transform(string_split({s}, ','), lambda x: regexp_replace(x, {trim}, '', 'g')) END")

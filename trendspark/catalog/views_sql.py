@@ -74,6 +74,20 @@ FROM part
 """)
 
 
+_REQ_CATS = "['1', '10', '17', '20', '22', '23', '24', '25', '26', '27', '28']"
+
+
+def _requests_body() -> str:
+    from trendspark.catalog.sql_text import parse_tags
+    return f"""
+SELECT t.doc_id, t.title, t.description, {parse_tags('t.tags')} AS tags,
+       CAST(p.p_size AS BIGINT) * 30 AS duration_seconds, {_REQ_CATS}[p.p_size % 11 + 1] AS category_id,
+       CAST(p.p_size % 24 AS INTEGER) AS publish_hour, CAST(p.p_size % 7 AS INTEGER) AS publish_weekday,
+       CAST(p.p_size % 12 + 1 AS INTEGER) AS publish_month
+FROM texts t JOIN part p ON p.p_partkey = t.doc_id + 1
+"""
+
+
 def with_views(*names: str) -> str:
     order: list[str] = []
 
@@ -84,6 +98,8 @@ def with_views(*names: str) -> str:
             visit(d)
         order.append(n)
 
+    if "requests" in names and "requests" not in VIEWS:
+        _view("requests", ["texts"], _requests_body())
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n"

@@ -109,6 +109,40 @@ DELAY_ELSE = "later"
 
 # Feature-name lists of the serving request (columns the numeric "norm" applies to).
 LEGACY_NORM_COLUMNS = ["duration_seconds", "title_length", "tag_count", "description_length"]
+# Recommendation texts of the serving endpoint.
+API_RECOMMENDATIONS = {
+    "title_short": "Consider using a longer title (30-70 characters)",
+    "title_long": "Consider using a slightly shorter title (30-70 characters)",
+    "punctuation": "Adding a question mark or exclamation point might increase engagement",
+    "tags_few": "Add more tags (aim for 5-15 relevant tags)",
+    "tags_many": "Too many tags might dilute relevance. Focus on 5-15 highly relevant tags",
+    "music_long": "Music videos tend to perform better when under 10 minutes",
+    "gaming_short": "Gaming videos tend to perform better between 10-20 minutes",
+    "entertainment_faces": "Entertainment videos with thumbnails featuring faces tend to perform better",
+}
+
+# Recommendation texts of the predictor.
+PREDICTOR_RECOMMENDATIONS = {
+    "title_short": "Make your title longer (30-70 characters is optimal)",
+    "title_long": "Consider shortening your title (30-70 characters is optimal)",
+    "punctuation": "Add a question mark or exclamation point to your title to increase engagement",
+    "music_duration": "Music videos tend to perform better when they're shorter (under 5 minutes)",
+    "entertainment_duration": "Entertainment videos tend to perform best between 8-15 minutes",
+    "gaming_duration": "Gaming videos tend to perform best between 10-25 minutes",
+    "education_duration": "Educational videos tend to perform best between 7-20 minutes",
+    "tags_few": "Add more tags (aim for 8-15 relevant tags)",
+    "tags_many": "Too many tags might dilute relevance. Focus on 8-15 highly relevant tags",
+    "description_short": "Add a more detailed description (200+ characters recommended)",
+    "music_day": "Music videos typically perform better when published on Friday or Saturday",
+    "music_hour": "Music videos typically perform better when published between 3pm-8pm",
+    "gaming_hour": "Gaming videos typically perform better when published between 2pm-10pm",
+    "entertainment_day": "Entertainment videos often perform better when published Thursday-Saturday",
+    "news_hour": "News videos typically perform better in the morning (7am-11am) or early evening (5pm-8pm)",
+}
+
+# Advice tiers by trending score (F21): >= 8, >= 6, >= 4, else.
+ADVICE_TIERS = [(8, "excellent"), (6, "good"), (4, "moderate")]
+ADVICE_ELSE = "low"
 # ---------------------------------------------------------------------------
 # END FIXED VALUES
 # ---------------------------------------------------------------------------
