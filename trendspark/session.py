@@ -55,3 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Write ``df`` to the shared folder and read it back: iterative jobs (model fits, CV
+    folds, search draws) then scan a small columnar table instead of recomputing the
+    lineage, and a lost executor costs a re-read, not a recomputation from raw text."""
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
