@@ -12,8 +12,6 @@ rounded to 9 decimals before ranking so equal means rank equal on every engine.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,45 +100,55 @@ def time_recommendations(df: DataFrame, hour: str = "publish_hour", weekday: str
 
 def insight_report(videos: DataFrame, channel_perf: DataFrame, category_perf: DataFrame,
                    time_rec: DataFrame, titles: DataFrame) -> DataFrame:
-    """The insight report as (section, metric, value_num, value_text) rows, a union of
-    small aggregates (A13, A15, A27, A28-A30)."""
-    def row(df, section, metric, num=None, text=None):
-        return df.select(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
-                         (num if num is not None else F.lit(None)).cast("double").alias("value_num"),
-                         (text if text is not None else F.lit(None)).cast("string").alias("value_text"))
-
-    top_cat = category_perf.orderBy(F.desc("category_score"), F.asc("category_name")).limit(1)
-    top_ch = channel_perf.orderBy(F.desc("channel_score"), F.asc("channel_id")).limit(1)
+    """The insight report as (section, metric, value_num, value_text) rows.
+
+    The five inputs are reduced to one row each (A13, A15, A27-A30), put side by side
+    with left joins on a constant key (every side has at most one row), and the wide
+    row is exploded into report lines - one plan, each subplan evaluated once."""
+    k = F.lit(0).alias("_k")
+    top_cat = (category_perf.orderBy(F.desc("category_score"), F.asc("category_name")).limit(1)
+               .select(k, "category_name", "category_score", "optimal_duration_minutes", "optimal_time_of_day"))
+    top_ch = (channel_perf.orderBy(F.desc("channel_score"), F.asc("channel_id")).limit(1)
+              .select(k, "channel_title", "channel_score", "video_count", "views_per_video"))
     g = videos.agg(F.count(F.lit(1)).alias("n"), F.avg("views").alias("v"), F.avg("likes").alias("l"),
                    F.avg("comments").alias("c"), F.avg("like_view_ratio").alias("lvr"),
-                   F.avg("comment_view_ratio").alias("cvr"), (F.avg("duration_seconds") / 60).alias("dm"))
+                   F.avg("comment_view_ratio").alias("cvr"), (F.avg("duration_seconds") / 60).alias("dm")
+                   ).withColumn("_k", F.lit(0))
     overall = F.avg("quality")
     t = titles.agg(*[(F.avg(F.when(F.col(f) == 1, F.col("quality"))) - overall).alias(f)
                      for f in ["title_has_question", "title_has_exclamation", "title_has_number"]],
-                   safe_corr("clickbait_score", "quality").alias("cb"))
-    parts = [
-        row(g, "summary", "total_videos", F.col("n")),
-        row(top_cat, "category", "top_category", F.col("category_score"), F.col("category_name")),
-        row(top_cat, "category", "optimal_duration_minutes", F.col("optimal_duration_minutes")),
-        row(top_cat, "category", "best_time_to_post", text=F.col("optimal_time_of_day")),
-        row(top_ch, "channel", "top_channel", F.col("channel_score"), F.col("channel_title")),
-        row(top_ch, "channel", "videos_in_trending", F.col("video_count")),
-        row(top_ch, "channel", "average_views", F.col("views_per_video")),
-        row(time_rec, "time", "best_day", text=F.col("best_day_name")),
-        row(time_rec, "time", "best_hour", F.col("best_hour")),
-        row(time_rec, "time", "best_time_of_day", text=F.col("best_time_of_day")),
-        row(t, "title", "question_impact", F.col("title_has_question")),
-        row(t, "title", "exclamation_impact", F.col("title_has_exclamation")),
-        row(t, "title", "number_impact", F.col("title_has_number")),
-        row(t, "title", "clickbait_correlation", F.col("cb")),
-        row(g, "general", "average_views", F.col("v")),
-        row(g, "general", "average_likes", F.col("l")),
-        row(g, "general", "average_comments", F.col("c")),
-        row(g, "general", "average_like_view_ratio", F.col("lvr")),
-        row(g, "general", "average_comment_view_ratio", F.col("cvr")),
-        row(g, "general", "average_duration_minutes", F.col("dm")),
+                   safe_corr("clickbait_score", "quality").alias("cb")).withColumn("_k", F.lit(0))
+    tr = time_rec.select(k, "best_day_name", "best_hour", "best_time_of_day")
+    wide = g.join(top_cat, "_k", "left").join(top_ch, "_k", "left").join(tr, "_k", "left").join(t, "_k", "left")
+
+    def line(section, metric, num=None, text=None):
+        return F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+                        (F.col(num) if num else F.lit(None)).cast("double").alias("value_num"),
+                        (F.col(text) if text else F.lit(None)).cast("string").alias("value_text"))
+
+    lines = [
+        line("summary", "total_videos", "n"),
+        line("category", "top_category", "category_score", "category_name"),
+        line("category", "optimal_duration_minutes", "optimal_duration_minutes"),
+        line("category", "best_time_to_post", text="optimal_time_of_day"),
+        line("channel", "top_channel", "channel_score", "channel_title"),
+        line("channel", "videos_in_trending", "video_count"),
+        line("channel", "average_views", "views_per_video"),
+        line("time", "best_day", text="best_day_name"),
+        line("time", "best_hour", "best_hour"),
+        line("time", "best_time_of_day", text="best_time_of_day"),
+        line("title", "question_impact", "title_has_question"),
+        line("title", "exclamation_impact", "title_has_exclamation"),
+        line("title", "number_impact", "title_has_number"),
+        line("title", "clickbait_correlation", "cb"),
+        line("general", "average_views", "v"),
+        line("general", "average_likes", "l"),
+        line("general", "average_comments", "c"),
+        line("general", "average_like_view_ratio", "lvr"),
+        line("general", "average_comment_view_ratio", "cvr"),
+        line("general", "average_duration_minutes", "dm"),
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return wide.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
 
 
 def engagement_columns(df: DataFrame) -> DataFrame:
