@@ -80,7 +80,7 @@ def category_performance(spark, sf):
 
 
 SQL_HOURLY = with_views("snapshots") + """
-SELECT CAST(hour(fetch_time) AS INTEGER) AS publish_hour, round(avg(views), 6) AS avg_engagement,
+SELECT CAST(hour(fetch_time) AS INTEGER) AS publish_hour, round(avg(views), 4) AS avg_engagement,
        count(*) AS video_count FROM snapshots GROUP BY 1
 """
 
@@ -88,11 +88,11 @@ SELECT CAST(hour(fetch_time) AS INTEGER) AS publish_hour, round(avg(views), 6) A
 @query("time_patterns_hourly", SQL_HOURLY)
 def time_patterns_hourly(spark, sf):
     """A30 hourly_stats (snapshot value stands for engagement)."""
-    return rounded(AN.hourly_stats(event_times(spark, sf), metric="views"), 6)
+    return rounded(AN.hourly_stats(event_times(spark, sf), metric="views"), 4)
 
 
 SQL_DAILY = with_views("snapshots") + """
-SELECT CAST(isodow(fetch_time) - 1 AS INTEGER) AS publish_weekday, round(avg(views), 6) AS avg_engagement,
+SELECT CAST(isodow(fetch_time) - 1 AS INTEGER) AS publish_weekday, round(avg(views), 4) AS avg_engagement,
        count(*) AS video_count,
        ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][isodow(fetch_time)] AS day_name
 FROM snapshots GROUP BY 1, 4
@@ -102,7 +102,7 @@ FROM snapshots GROUP BY 1, 4
 @query("time_patterns_daily", SQL_DAILY)
 def time_patterns_daily(spark, sf):
     """A30 day_stats with day names, calendar order."""
-    return rounded(AN.day_stats(event_times(spark, sf), metric="views"), 6)
+    return rounded(AN.day_stats(event_times(spark, sf), metric="views"), 4)
 
 
 _TR_CTE = """, hs AS (SELECT CAST(hour(fetch_time) AS INTEGER) AS h, avg(views) AS m FROM snapshots GROUP BY 1),

@@ -476,8 +476,8 @@ def box_numbers(spark, sf):
 
 
 SQL_MEAN_CI = with_views("snapshots") + """
-SELECT publish_hour, n, round(mean, 6) AS mean, round(sd, 6) AS sd,
-       round(mean - 1.96 * sd / sqrt(n), 6) AS ci_lo, round(mean + 1.96 * sd / sqrt(n), 6) AS ci_hi
+SELECT publish_hour, n, round(mean, 4) AS mean, round(sd, 4) AS sd,
+       round(mean - 1.96 * sd / sqrt(n), 4) AS ci_lo, round(mean + 1.96 * sd / sqrt(n), 4) AS ci_hi
 FROM (SELECT CAST(hour(fetch_time) AS INTEGER) AS publish_hour, count(views) AS n, avg(views) AS mean,
              stddev_samp(views) AS sd FROM snapshots GROUP BY 1)
 """
@@ -486,7 +486,7 @@ FROM (SELECT CAST(hour(fetch_time) AS INTEGER) AS publish_hour, count(views) AS
 @query("mean_ci_by_hour", SQL_MEAN_CI)
 def mean_ci_by_hour(spark, sf):
     """Hourly mean value with a normal 95 % band."""
-    return rounded(ST.mean_ci(event_times(spark, sf), "publish_hour", "views"), 6)
+    return rounded(ST.mean_ci(event_times(spark, sf), "publish_hour", "views"), 4)
 
 
 # ---------------------------------------------------------------------------------------------

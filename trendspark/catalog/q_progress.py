@@ -181,7 +181,7 @@ def trend_days(spark, sf):
 SQL_STREAM_WINDOWS = with_views("snapshots") + """
 SELECT time_bucket(INTERVAL 6 HOUR, fetch_time) AS window_start,
        time_bucket(INTERVAL 6 HOUR, fetch_time) + INTERVAL 6 HOUR AS window_end,
-       region, count(*) AS n, round(avg(views), 6) AS avg_views
+       region, count(*) AS n, round(avg(views), 4) AS avg_views
 FROM snapshots GROUP BY 1, 2, 3
 """
 
@@ -191,7 +191,7 @@ def stream_window_counts(spark, sf):
     """Streaming extension: 6-hour tumbling event-time windows per region (count, mean views)."""
     agg = WN.window_counts(I.snapshot_stream(spark, sf), "region", "fetch_time", "6 hours")
     table = I.run_to_table(spark, agg, "window_counts", output_mode="complete")
-    return rounded(table, 6)
+    return rounded(table, 4)
 
 
 @query("stream_sessions")

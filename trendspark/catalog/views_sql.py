@@ -52,7 +52,7 @@ FROM ve
 
 _view("snapshots", [], """
 SELECT e.event_id AS snapshot_id, e.user_id AS video_id, e.event_type AS category_id,
-       r.r_name AS region, e.ts AS fetch_time, f.publish_time, e.value AS views,
+       r.r_name AS region, e.ts AS fetch_time, f.publish_time, CAST(round(e.value * 100) AS BIGINT) AS views,
        TRY_CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS likes,
        CAST(floor(e.value / 10) AS BIGINT) AS comments, e.props
 FROM events e

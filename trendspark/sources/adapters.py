@@ -13,7 +13,7 @@ videos     orders + customer + nation + region, lineitem sums per order
            fetch_time=2002-01-01 (after every order date).
 snapshots  events: video_id=user_id, category_id=event_type, region=region of
            user_id mod 5, fetch_time=ts, publish_time=first ts of (user, type),
-           views=value, likes=props $.k, comments=floor(value/10).
+           views=round(value*100) (a count), likes=props $.k, comments=floor(value/10).
 texts      documents (+ labels): title=trimmed text before the first '.' or
            newline, description=text, tags=second line of the text,
            channel_title=source, region=lang.
@@ -89,7 +89,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("region"),
         F.col("ts").alias("fetch_time"),
         F.col("publish_time"),
-        F.col("value").alias("views"),
+        F.round(F.col("value") * 100).cast("bigint").alias("views"),
         F.get_json_object("props", "$.k").try_cast("bigint").alias("likes"),
         F.floor(F.col("value") / 10).cast("bigint").alias("comments"),
         F.col("props"),

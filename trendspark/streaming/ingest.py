@@ -50,7 +50,7 @@ def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("category_id"),
         F.col("r_name").alias("region"),
         F.col("ts").alias("fetch_time"),
-        F.col("value").alias("views"),
+        F.round(F.col("value") * 100).cast("bigint").alias("views"),
         F.get_json_object("props", "$.k").try_cast("bigint").alias("likes"),
         F.floor(F.col("value") / 10).cast("bigint").alias("comments"),
     )
