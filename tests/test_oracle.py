@@ -17,6 +17,8 @@ NAMES = [n for n in E.oracle_sql() if n not in SLOW]
 
 
 def _norm(v):
+    if v is pd.NA:
+        return None
     if isinstance(v, np.generic):
         v = v.item()
     if v is None or (isinstance(v, float) and math.isnan(v)):

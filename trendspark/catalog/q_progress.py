@@ -70,7 +70,7 @@ SELECT snapshot_id, video_id, category_id, region, hours_since_prev, views_delta
        round(CASE WHEN hours_since_prev > 0 THEN views_delta / hours_since_prev END, 9) AS views_delta_per_hour
 FROM (SELECT snapshot_id, video_id, category_id, region,
              date_diff('microsecond', lag(fetch_time) OVER w, fetch_time) / 3.6e9 AS hours_since_prev,
-             views - lag(views) OVER w AS views_delta
+             CAST(views - lag(views) OVER w AS DOUBLE) AS views_delta
       FROM snapshots WINDOW w AS (PARTITION BY video_id, category_id, region ORDER BY fetch_time, snapshot_id))
 """
 

@@ -72,7 +72,7 @@ def snapshot_deltas(df: DataFrame, key, time: str, tiebreak: str, values=DEFAULT
     prev_t = F.lag(time).over(w)
     out = df.withColumn("hours_since_prev", hours_between(prev_t, F.col(time)))
     for v in values:
-        out = out.withColumn(f"{v}_delta", F.col(v) - F.lag(v).over(w))
+        out = out.withColumn(f"{v}_delta", (F.col(v) - F.lag(v).over(w)).cast("double"))
         out = out.withColumn(f"{v}_delta_per_hour",
                              F.when(F.col("hours_since_prev") > 0, F.col(f"{v}_delta") / F.col("hours_since_prev")))
     return out
