@@ -255,3 +255,40 @@ def regression_metrics_fixed(spark, sf):
     m = MD.regression_metrics(v)
     return m.select("n", F.round("mse", 4).alias("mse"), F.round("rmse", 6).alias("rmse"),
                     F.round("mae", 6).alias("mae"), F.round("r2", 9).alias("r2"))
+
+
+@query("predict_potential")
+def predict_potential(spark, sf):
+    """M19 + F16-F22 + F52 + F54: full prediction record per request - a logistic model on the serving
+    feature row gives the viral probability; heuristic score, blend, estimates, advice and
+    recommendations are column expressions over the scored table."""
+    from trendspark.functions import scoring as SC
+    from trendspark.sources.adapters import requests
+    feats = SC.serving_features()
+    names = [f"f_{n}" for n in feats]  # feature-row columns, kept apart from the request fields
+    req = requests(spark, sf)
+    lab = spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet").select("doc_id", "quality")
+    table = materialize(spark, req.join(lab, "doc_id", "left").select(
+        "doc_id", "title", "description", "tags", "category_id", "duration_seconds", "publish_hour",
+        "publish_weekday", F.col("quality").cast("double").alias("label"),
+        *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"f_{n}") for n, c in feats.items()]),
+        "requests-scored-input")
+    train = table.where(F.col("label").isNotNull())
+    model = MD.fit(train, names, MD.classifier("logistic", n_train=train.count()))
+    scored = model.transform(table).withColumn("viral_probability", MD.positive_probability())
+    s = scored.withColumn("heuristic", SC.heuristic_score(F.length(F.coalesce("title", F.lit(""))),
+                                                          "duration_seconds", "category_id", F.size("tags")))
+    s = s.withColumn("trending_score", SC.blend_probability("heuristic", "viral_probability"))
+    s = s.withColumn("engagement_estimate", SC.engagement_estimate("trending_score"))
+    s = s.withColumn("potential_score", SC.combined_score("engagement_estimate", "viral_probability"))
+    out = s.select(
+        "doc_id", F.bround("trending_score", 1).alias("trending_score"),
+        F.bround("engagement_estimate", 1).alias("engagement_score"),
+        F.bround("viral_probability", 3).alias("viral_potential"),
+        F.bround("potential_score", 1).alias("potential_score"),
+        SC.views_estimate("trending_score").alias("views_estimate"),
+        SC.views_estimate_100("potential_score").alias("views_estimate_100"),
+        SC.advice_tier("trending_score").alias("advice_tier"),
+        SC.recommendations_predictor("title", "description", F.size("tags"), "category_id", "duration_seconds",
+                                     "publish_hour", "publish_weekday").alias("recommendations"))
+    return out
