@@ -531,3 +531,23 @@ def deterministic_sample(spark, sf):
     """Reproducible uniform sample of 500 rows (seeded hash order; the limit is the feature)."""
     from trendspark.ml.split import hash_sample
     return hash_sample(A.videos(spark, sf).select("video_id", "views"), 500, "video_id", seed=42)
+
+
+SQL_HIST_BY_CATEGORY = with_views("ve") + """
+SELECT category_name, bin, count(*) AS count, round(lo + w * bin / 50, 9) AS bin_lo,
+       round(lo + w * (bin + 1) / 50, 9) AS bin_hi
+FROM (SELECT v.category_name, CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((engagement_score - lo) / w * 50), 49) END
+             AS INTEGER) AS bin, lo, w
+      FROM ve v JOIN (SELECT category_name, min(engagement_score) AS lo,
+                             max(engagement_score) - min(engagement_score) AS w FROM ve GROUP BY 1) b
+        USING (category_name)
+      WHERE engagement_score IS NOT NULL)
+GROUP BY category_name, bin, lo, w
+"""
+
+
+@query("hist_engagement_by_category", SQL_HIST_BY_CATEGORY)
+def hist_engagement_by_category(spark, sf):
+    """50 engagement bins per category over each category's own range."""
+    return rounded(ST.histogram_by_group(ve(spark, sf), "category_name", "engagement_score", 50), 9,
+                   only=["bin_lo", "bin_hi"])

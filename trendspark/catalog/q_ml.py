@@ -130,7 +130,13 @@ def ml_select(spark, sf):
     imp = TU.select_by_importance(train, TEXT_FEATURES, "classification", 10)
     uni = TU.select_univariate(train, TEXT_FEATURES, "classification", 10)
     rows = [("importance", i, f) for i, f in enumerate(imp)] + [("univariate", i, f) for i, f in enumerate(uni)]
-    return spark.createDataFrame(rows, "method string, rank int, feature string")
+    chosen = spark.createDataFrame(rows, "method string, rank int, feature string")
+    path = scratch_path(spark, "selected-features")  # S17: the selected names as a text table
+    SRC.write_table(chosen.select(F.concat_ws("\t", "method", F.col("rank").cast("string"), "feature")
+                                  .alias("value")), path, fmt="text")
+    back = spark.read.text(path).select(F.split("value", "\t").alias("p"))
+    return back.select(F.col("p")[0].alias("method"), F.col("p")[1].cast("int").alias("rank"),
+                       F.col("p")[2].alias("feature"))
 
 
 @query("ml_select_recursive")

@@ -227,3 +227,22 @@ GROUP BY video_id, category_id, region, sid
 def sessions(spark, sf):
     """Batch trending sessions (gap 6 hours): the same operator as the streaming extension."""
     return WN.trending_sessions(A.snapshots(spark, sf), KEY, "fetch_time", "6 hours")
+
+
+SQL_HIST_GROWTH = with_views("snapshots") + f"""
+SELECT bin, count(*) AS count, round(lo + w * bin / 30, 6) AS bin_lo, round(lo + w * (bin + 1) / 30, 6) AS bin_hi
+FROM (SELECT CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((g - lo) / w * 30), 29) END AS INTEGER) AS bin, lo, w
+      FROM (SELECT (last_views - first_views) / hours_tracked AS g FROM ({_PROG_INNER}) WHERE hours_tracked > 0) p,
+           (SELECT min(g) AS lo, max(g) - min(g) AS w FROM
+              (SELECT (last_views - first_views) / hours_tracked AS g FROM ({_PROG_INNER}) WHERE hours_tracked > 0))
+      WHERE g IS NOT NULL)
+GROUP BY bin, lo, w
+"""
+
+
+@query("hist_growth", SQL_HIST_GROWTH)
+def hist_growth(spark, sf):
+    """30 bins of view growth per hour over the progression table."""
+    from trendspark.operators import stats as ST
+    p = PG.progress(A.snapshots(spark, sf), KEY).where(F.col("view_growth_per_hour").isNotNull())
+    return rounded(ST.histogram(p, "view_growth_per_hour", 30), 6, only=["bin_lo", "bin_hi"])

@@ -234,3 +234,21 @@ def title_length_buckets(spark, sf):
     """A22 (+F13): labelled quality by right-closed title-length bucket."""
     t = texts(spark, sf, with_labels=True).select("quality", F.length("title").alias("title_length"))
     return rounded(AG.title_length_buckets(t, "title_length", "quality"), 6)
+
+
+SQL_HIST_CLICKBAIT = with_views("texts") + f"""
+SELECT bin, count(*) AS count, round(lo + w * bin / 10, 9) AS bin_lo, round(lo + w * (bin + 1) / 10, 9) AS bin_hi
+FROM (SELECT CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((x - lo) / w * 10), 9) END AS INTEGER) AS bin, lo, w
+      FROM (SELECT {Q.phrase_hits(Q.clean('description'), S.CLICKBAIT_PHRASES)} AS x FROM texts),
+           (SELECT min(x) AS lo, max(x) - min(x) AS w
+            FROM (SELECT {Q.phrase_hits(Q.clean('description'), S.CLICKBAIT_PHRASES)} AS x FROM texts)))
+GROUP BY bin, lo, w
+"""
+
+
+@query("hist_clickbait", SQL_HIST_CLICKBAIT)
+def hist_clickbait(spark, sf):
+    """10 bins of the clickbait score of whole descriptions."""
+    from trendspark.operators import stats as ST
+    t = texts(spark, sf).select(TX.phrase_hits(TX.clean_text("description"), S.CLICKBAIT_PHRASES).alias("x"))
+    return rounded(ST.histogram(t, "x", 10), 9, only=["bin_lo", "bin_hi"])

@@ -138,12 +138,11 @@ def quartile_compare(df: DataFrame, score: str, metrics: list[str]) -> DataFrame
 
     Quartiles are exact (linear interpolation) scalar subqueries.
     """
-    q = df.select(F.percentile(score, 0.75).alias("q75"), F.percentile(score, 0.25).alias("q25"))
-    q75 = q.select("q75").scalar()
-    q25 = q.select("q25").scalar()
-    top = F.col(score) >= q75
-    bottom = F.col(score) <= q25
-    wide = df.agg(*[F.avg(F.when(top, F.col(m))).alias(f"top__{m}") for m in metrics],
+    from trendspark.operators.lookups import with_stats_row
+    q = df.select(F.percentile(score, 0.75).alias("_q75"), F.percentile(score, 0.25).alias("_q25"))
+    top = F.col(score) >= F.col("_q75")
+    bottom = F.col(score) <= F.col("_q25")
+    wide = with_stats_row(df.select(score, *metrics), q).agg(*[F.avg(F.when(top, F.col(m))).alias(f"top__{m}") for m in metrics],
                   *[F.avg(F.when(bottom, F.col(m))).alias(f"bottom__{m}") for m in metrics])
     stack = ", ".join(f"'{m}', `top__{m}`, `bottom__{m}`" for m in metrics)
     long = wide.selectExpr(f"stack({len(metrics)}, {stack}) AS (metric, top_videos, bottom_videos)")

@@ -37,10 +37,18 @@ def attach_group_stats(df: DataFrame, keys: list[str], aggs: dict) -> DataFrame:
 
 
 def with_scalar_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach every column of a one-row statistics frame as scalar subqueries."""
+    """Attach every column of a one-row statistics frame as scalar subqueries
+    (use when each column is referenced once; see ``with_stats_row`` otherwise)."""
     return df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
 
 
+def with_stats_row(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Put the columns of a one-row statistics frame (an ungrouped aggregate: exactly one
+    row by construction) beside every row. The row is computed once and broadcast; a scalar
+    subquery per reference would instead re-run the statistics plan for every reference."""
+    return df.crossJoin(F.broadcast(stats))
+
+
 def day_lookup(df: DataFrame, name_col: str, out_col: str = "weekday") -> DataFrame:
     """Day name -> number (0 = Monday) through an array position (no join)."""
     arr = F.array(*[F.lit(d) for d in S.DAY_NAMES])

@@ -103,14 +103,16 @@ def moments(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def with_zscores(df: DataFrame, cols: list[str], suffix: str = "_norm") -> DataFrame:
-    """F9 + A18 + J10: z-score per column from whole-table mean/sd (0 when sd is 0 or null)."""
+    """F9 + A18 + J10: z-score per column from whole-table mean/sd (0 when sd is 0 or null).
+    The one-row moments frame is computed once and broadcast beside every row."""
+    from trendspark.operators.lookups import with_stats_row
     m = moments(df, cols)
+    j = with_stats_row(df, m)
     out = {}
     for c in cols:
-        mean = m.select(f"{c}__mean").scalar()
-        sd = m.select(f"{c}__sd").scalar()
+        mean, sd = F.col(f"{c}__mean"), F.col(f"{c}__sd")
         out[f"{c}{suffix}"] = F.when(F.coalesce(sd, F.lit(0.0)) > 0, (F.col(c) - mean) / sd).otherwise(F.lit(0.0))
-    return df.withColumns(out)
+    return j.withColumns(out).drop(*m.columns)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -164,20 +166,45 @@ def describe_categorical(df: DataFrame, col: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None) -> DataFrame:
-    """Equal-width bins over [min, max] (or given bounds); last bin closed."""
-    mm = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo_c = F.lit(lo) if lo is not None else mm.select("lo").scalar()
-    hi_c = F.lit(hi) if hi is not None else mm.select("hi").scalar()
-    x = F.col(col)
-    width = (hi_c - lo_c)
-    idx = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - lo_c) / width * bins), F.lit(bins - 1))).cast("int")
-    inside = x.isNotNull() & (x >= lo_c) & (x <= hi_c)
-    out = (df.where(inside).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
-    return out.withColumns({
-        "bin_lo": lo_c + width * F.col("bin") / bins,
-        "bin_hi": lo_c + width * (F.col("bin") + 1) / bins,
-    })
+    """Equal-width bins over [min, max] (or given bounds); last bin closed.
+
+    The bounds are one row (computed once, broadcast beside the rows). Rows outside the
+    range get a null bin inside the grouping key instead of being filtered out."""
+    from trendspark.operators.lookups import with_stats_row
+    v = df.select(F.col(col).alias("_x"))
+    if lo is None or hi is None:
+        bounds = v.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        if lo is not None:
+            bounds = bounds.withColumn("_lo", F.lit(lo))
+        if hi is not None:
+            bounds = bounds.withColumn("_hi", F.lit(hi))
+        j = with_stats_row(v, bounds)
+    else:
+        j = v.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi)})
+    x, lo_c, hi_c = F.col("_x"), F.col("_lo"), F.col("_hi")
+    width = hi_c - lo_c
+    idx = F.when(x.isNotNull() & (x >= lo_c) & (x <= hi_c),
+                 F.when(width == 0, F.lit(0)).otherwise(
+                     F.least(F.floor((x - lo_c) / width * bins), F.lit(bins - 1))).cast("int"))
+    out = (j.groupBy(idx.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
+           .where(F.col("bin").isNotNull()))
+    w = F.col("_hi") - F.col("_lo")
+    return out.select("bin", "count", (F.col("_lo") + w * F.col("bin") / bins).alias("bin_lo"),
+                      (F.col("_lo") + w * (F.col("bin") + 1) / bins).alias("bin_hi"))
+
+
+def histogram_by_group(df: DataFrame, group: str, col: str, bins: int) -> DataFrame:
+    """A19 per group: equal-width bins over each group's own [min, max] (last bin closed).
+    The per-group bounds are a small aggregate joined back on the group key."""
+    bounds = df.groupBy(group).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    x, lo, hi = F.col(col), F.col("_lo"), F.col("_hi")
+    width = hi - lo
+    idx = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / width * bins), F.lit(bins - 1))).cast("int")
+    j = df.select(group, col).join(bounds, group)
+    out = (j.groupBy(group, F.when(x.isNotNull(), idx).alias("bin"), "_lo", "_hi")
+           .agg(F.count(F.lit(1)).alias("count")).where(F.col("bin").isNotNull()))
+    return out.select(group, "bin", "count", (lo + width * F.col("bin") / bins).alias("bin_lo"),
+                      (lo + width * (F.col("bin") + 1) / bins).alias("bin_hi"))
 
 
 def box_numbers(df: DataFrame, group: str, col: str, approx: bool = False) -> DataFrame:
