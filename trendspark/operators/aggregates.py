@@ -136,13 +136,14 @@ def flag_impact(df: DataFrame, flags: list[str], metric: str = "engagement_score
 def quartile_compare(df: DataFrame, score: str, metrics: list[str]) -> DataFrame:
     """A16 (+P5): means of ``metrics`` in the top (>= q75) and bottom (<= q25) groups.
 
-    Quartiles are exact (linear interpolation) scalar subqueries.
+    Quartiles are exact (linear interpolation), found by the distributed selection in
+    ``stats.exact_quantiles`` (no whole-column value map in one task).
     """
-    from trendspark.operators.lookups import with_stats_row
-    q = df.select(F.percentile(score, 0.75).alias("_q75"), F.percentile(score, 0.25).alias("_q25"))
-    top = F.col(score) >= F.col("_q75")
-    bottom = F.col(score) <= F.col("_q25")
-    wide = with_stats_row(df.select(score, *metrics), q).agg(*[F.avg(F.when(top, F.col(m))).alias(f"top__{m}") for m in metrics],
+    from trendspark.operators.stats import exact_quantiles
+    q25, q75 = exact_quantiles(df, score, [0.25, 0.75])
+    top = F.col(score) >= F.lit(q75)
+    bottom = F.col(score) <= F.lit(q25)
+    wide = df.select(score, *metrics).agg(*[F.avg(F.when(top, F.col(m))).alias(f"top__{m}") for m in metrics],
                   *[F.avg(F.when(bottom, F.col(m))).alias(f"bottom__{m}") for m in metrics])
     stack = ", ".join(f"'{m}', `top__{m}`, `bottom__{m}`" for m in metrics)
     long = wide.selectExpr(f"stack({len(metrics)}, {stack}) AS (metric, top_videos, bottom_videos)")

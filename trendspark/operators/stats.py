@@ -28,65 +28,118 @@ def quantile_expr(col: str, p, approx: bool = False, accuracy: int = 100000) ->
     return F.percentile(col, p)
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = 1024,
+                    final_rows: int = 50000) -> list[float | None]:
+    """Exact linear-interpolated quantiles of one whole column (see ``exact_quantiles_multi``)."""
+    return exact_quantiles_multi(df, {col: probs}, buckets, final_rows)[col]
+
+
 def exact_quantile(df: DataFrame, col: str, p: float, buckets: int = 1024,
                    final_rows: int = 50000) -> float | None:
-    """Exact linear-interpolated quantile of a whole column without a global value map.
-
-    Rank h = (n-1)p; the answer interpolates the values at ranks floor(h) and
-    floor(h)+1 (0-based). Each pass groups the rows of the current value range
-    into ``buckets`` equal-width buckets (partial aggregation, <= buckets rows to
-    the driver), keeps the bucket holding the wanted rank, and stops when that
-    bucket holds one distinct value or at most ``final_rows`` rows, which are
-    then sorted and read. A hot value ends the search at once (min == max).
+    """One exact quantile (see ``exact_quantiles_multi``)."""
+    return exact_quantiles(df, col, [p], buckets, final_rows)[0]
+
+
+def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], buckets: int = 1024,
+                          final_rows: int = 50000) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of whole columns without a global value map.
+
+    For each p the rank h = (n-1)p needs the values at ranks floor(h) and floor(h)+1
+    (0-based). The columns are stacked into one persisted (column, value) table and all
+    wanted ranks of all columns are searched together: every pass is ONE distributed
+    aggregate that splits each open value interval into ``buckets`` equal-width buckets
+    (partial aggregation; at most buckets x intervals rows reach the driver), keeps the
+    buckets holding wanted ranks, and stops for a rank when its bucket holds one distinct
+    value (a hot value ends the search at once) or at most ``final_rows`` rows, which are
+    then read in order. A few passes replace the one-task merge of Spark's ``percentile``.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)  # reused by every pass; rebuilt from lineage if lost
+    cols = list(wanted)
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                      for i, c in enumerate(cols)])
+    long = df.select(F.explode(pairs).alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)  # reused by every pass; rebuilt from lineage if lost
     try:
-        return _exact_quantile(v, p, buckets, final_rows)
+        return _exact_quantiles(long, cols, wanted, buckets, final_rows)
     finally:
-        v.unpersist()
-
-
-def _exact_quantile(v: DataFrame, p: float, buckets: int, final_rows: int) -> float | None:
-    row = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n, lo, hi = row["n"], row["lo"], row["hi"]
-    if not n:
-        return None
-    h = (n - 1) * p
-    k0 = int(math.floor(h))
-    frac = h - k0
-
-    def kth(k: int) -> float:
-        lo_, hi_, offset = lo, hi, 0  # offset = rows below lo_
-        while True:
-            if lo_ == hi_:
-                return lo_
-            sub = v.where((F.col("v") >= lo_) & (F.col("v") <= hi_))
-            width = (hi_ - lo_) / buckets
-            b = F.least(F.floor((F.col("v") - F.lit(lo_)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-            counts = (sub.groupBy(b.alias("b"))
-                      .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                      .orderBy("b").collect())
+        long.unpersist()
+
+
+def _exact_quantiles(v: DataFrame, cols: list[str], wanted: dict[str, list[float]], buckets: int,
+                     final_rows: int) -> dict[str, list[float | None]]:
+    stats = {r["c"]: r for r in v.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                                     F.max("v").alias("hi")).collect()}
+    plans: dict[int, list] = {}
+    open_ = []  # (column, lo, hi, rows below lo, ranks inside)
+    for ci, c in enumerate(cols):
+        st = stats.get(ci)
+        if st is None:
+            continue
+        n = st["n"]
+        plans[ci] = []
+        for p in wanted[c]:
+            h = (n - 1) * p
+            k0 = int(math.floor(h))
+            plans[ci].append((k0, h - k0))
+        ranks = sorted({k for k0, frac in plans[ci] for k in ([k0] if frac == 0 or k0 + 1 >= n else [k0, k0 + 1])})
+        open_.append((ci, st["lo"], st["hi"], 0, ranks))
+    found: dict[tuple[int, int], float] = {}
+    while open_:
+        for ci, a, b, _, ranks in open_:
+            if a == b:
+                for k in ranks:
+                    found[(ci, k)] = a
+        open_ = [iv for iv in open_ if iv[1] != iv[2]]
+        if not open_:
+            break
+        iid, bucket = None, None
+        for i, (ci, a, b, _, _) in enumerate(open_):
+            inside = (F.col("c") == ci) & (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
+            bk = F.least(F.floor((F.col("v") - F.lit(a)) / F.lit((b - a) / buckets)), F.lit(buckets - 1))
+            iid = F.when(inside, F.lit(i)) if iid is None else iid.when(inside, F.lit(i))
+            bucket = F.when(inside, bk) if bucket is None else bucket.when(inside, bk)
+        counts = (v.select(iid.alias("i"), bucket.cast("int").alias("b"), "v").where(F.col("i").isNotNull())
+                  .groupBy("i", "b").agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("mn"),
+                                         F.max("v").alias("mx"))
+                  .orderBy("i", "b").collect())
+        by_interval: dict[int, list] = {}
+        for r in counts:
+            by_interval.setdefault(r["i"], []).append(r)
+        nxt = []
+        for i, (ci, _, _, offset, ranks) in enumerate(open_):
             acc = offset
-            for r in counts:
-                if acc + r["c"] > k:
+            pending = list(ranks)
+            for r in by_interval.get(i, []):
+                here = [k for k in pending if acc <= k < acc + r["cnt"]]
+                if here:
                     if r["mn"] == r["mx"]:
-                        return r["mn"]
-                    if r["c"] <= final_rows:
-                        vals = (v.where((F.col("v") >= r["mn"]) & (F.col("v") <= r["mx"]))
-                                .orderBy("v").limit(k - acc + 1).collect())
-                        return vals[k - acc]["v"]
-                    lo_, hi_, offset = r["mn"], r["mx"], acc
-                    break
-                acc += r["c"]
-            else:  # pragma: no cover - rank beyond count cannot happen
-                return hi_
-
-    a = kth(k0)
-    if frac == 0 or k0 + 1 >= n:
-        return a
-    b = kth(k0 + 1)
-    return a + (b - a) * frac
+                        for k in here:
+                            found[(ci, k)] = r["mn"]
+                    elif r["cnt"] <= final_rows:
+                        vals = (v.where((F.col("c") == ci) & (F.col("v") >= r["mn"]) & (F.col("v") <= r["mx"]))
+                                .select("v").orderBy("v").limit(max(here) - acc + 1).collect())
+                        for k in here:
+                            found[(ci, k)] = vals[k - acc]["v"]
+                    else:
+                        nxt.append((ci, r["mn"], r["mx"], acc, here))
+                    pending = [k for k in pending if k not in here]
+                acc += r["cnt"]
+        open_ = nxt
+    out: dict[str, list[float | None]] = {}
+    for ci, c in enumerate(cols):
+        if ci not in plans:
+            out[c] = [None for _ in wanted[c]]
+            continue
+        n = stats[ci]["n"]
+        res = []
+        for k0, frac in plans[ci]:
+            a = found[(ci, k0)]
+            if frac == 0 or k0 + 1 >= n:
+                res.append(a)
+            else:
+                b = found[(ci, k0 + 1)]
+                res.append(a + (b - a) * frac)
+        out[c] = res
+    return out
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -139,15 +192,23 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A12 (numeric part): count, mean, std, min, 25%, 50%, 75%, max as long rows (exact quantiles)."""
+def describe_numeric(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+    """A12 (numeric part): count, mean, std, min, 25%, 50%, 75%, max as long rows.
+
+    Quartiles come from the distributed exact selection (``exact_quantiles``), or from
+    ``percentile_approx`` with ``exact=False``."""
     stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     aggs = []
+    quart = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in cols}) if exact else {}
     for c in cols:
+        if exact:
+            qs = [F.lit(x).cast("double") for x in quart[c]]
+        else:
+            qs = [F.percentile_approx(c, p, 100000).cast("double") for p in (0.25, 0.5, 0.75)]
         aggs += [F.count(c).cast("double").alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.percentile(c, 0.25).alias(f"{c}__25%"), F.percentile(c, 0.5).alias(f"{c}__50%"),
-                 F.percentile(c, 0.75).alias(f"{c}__75%"), F.max(c).cast("double").alias(f"{c}__max")]
+                 qs[0].alias(f"{c}__25%"), qs[1].alias(f"{c}__50%"),
+                 qs[2].alias(f"{c}__75%"), F.max(c).cast("double").alias(f"{c}__max")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"`{c}__{s}`").alias("value"))
             for c in cols for s in stats]
