@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.sources.tables import read_table
+from trendspark.sources.tables import read_table, spread
 
 FETCH_TIME_SQL = "TIMESTAMP_NTZ '2002-01-01 00:00:00'"
 
@@ -101,7 +101,7 @@ TAGS_PATTERN = r"\n([^\n]*)"
 
 
 def texts(spark: SparkSession, sf_dir: str, with_labels: bool = False) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
     t = d.select(
         "doc_id",
         F.trim(F.regexp_extract("text", TITLE_PATTERN, 1)).alias("title"),

@@ -16,3 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     """Parquet scan; selecting ``columns`` here keeps ReadSchema narrow from the start."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin rows over the cluster's cores when the scan yields fewer partitions than
+    there are cores (e.g. one large row group) and the rows carry CPU-heavy work such as
+    whole-text regexes. On a large input the scan already has enough splits and nothing
+    is added."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df
