@@ -78,3 +78,30 @@ def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 3, 4, 10]], "x double")
     got = {r["bin"]: r["count"] for r in ST.histogram(df, "x", 5).collect()}
     assert got == {0: 2, 1: 2, 2: 1, 4: 1}
+
+
+def test_grouped_exact_quantiles_hot_group(spark):
+    rnd = random.Random(11)
+    rows = [("hot", rnd.random() * 10) for _ in range(3000)] + [("g%d" % (i % 5), float(i % 17)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = ST.exact_quantiles_by_group(df, "g", "x", [0.25, 0.5, 0.75], buckets=8, final_rows=50)
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    for g, grp in pdf.groupby("g"):
+        exp = np.percentile(grp["x"], [25, 50, 75])
+        assert got[g] == pytest.approx(list(exp), rel=1e-12)
+
+
+def test_skew_safe_lag_matches_window(spark):
+    from pyspark.sql import Window
+    from trendspark.streaming import progression as PG
+    rnd = random.Random(5)
+    rows = [(i, "hot" if i % 3 else "k%d" % (i % 7), i * 10 + rnd.randint(0, 5), float(rnd.randint(0, 100)))
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, views double").withColumn(
+        "ts", F.timestamp_seconds("t"))
+    got = PG.snapshot_deltas(df, ["k"], "ts", "id", values=["views"], partitions=6)
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    ref = df.withColumn("views_delta", (F.col("views") - F.lag("views").over(w)).cast("double"))
+    a = sorted((r["id"], r["views_delta"]) for r in got.select("id", "views_delta").collect())
+    b = sorted((r["id"], r["views_delta"]) for r in ref.select("id", "views_delta").collect())
+    assert a == b

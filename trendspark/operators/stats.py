@@ -19,6 +19,7 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quantile_expr(col: str, p, approx: bool = False, accuracy: int = 100000) -> Column:
@@ -59,18 +60,35 @@ def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], buckets
     long = df.select(F.explode(pairs).alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
     long = long.persist(StorageLevel.MEMORY_AND_DISK)  # reused by every pass; rebuilt from lineage if lost
     try:
-        return _exact_quantiles(long, cols, wanted, buckets, final_rows)
+        return _exact_quantiles(long, list(range(len(cols))), cols, wanted, buckets, final_rows)
     finally:
         long.unpersist()
 
 
-def _exact_quantiles(v: DataFrame, cols: list[str], wanted: dict[str, list[float]], buckets: int,
+def exact_quantiles_by_group(df: DataFrame, group: str, col: str, probs: list[float], buckets: int = 1024,
+                             final_rows: int = 50000) -> dict:
+    """Exact quantiles of ``col`` per value of ``group`` by the same bucketed selection (a
+    group holding a third of all rows is split into buckets like any other). Meant for
+    bounded group sets (dimensions): the driver keeps one open interval per group and rank."""
+    long = (df.select(F.col(group).alias("c"), F.col(col).cast("double").alias("v"))
+            .where(F.col("v").isNotNull() & F.col("c").isNotNull()))
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        keys = [r["c"] for r in long.select("c").distinct().collect()]
+        names = [str(k) for k in keys]
+        res = _exact_quantiles(long, keys, names, {n: probs for n in names}, buckets, final_rows)
+        return {k: res[n] for k, n in zip(keys, names)}
+    finally:
+        long.unpersist()
+
+
+def _exact_quantiles(v: DataFrame, keys: list, cols: list[str], wanted: dict[str, list[float]], buckets: int,
                      final_rows: int) -> dict[str, list[float | None]]:
     stats = {r["c"]: r for r in v.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                                      F.max("v").alias("hi")).collect()}
-    plans: dict[int, list] = {}
-    open_ = []  # (column, lo, hi, rows below lo, ranks inside)
-    for ci, c in enumerate(cols):
+    plans: dict = {}
+    open_ = []  # (key, lo, hi, rows below lo, ranks inside)
+    for ci, c in zip(keys, cols):
         st = stats.get(ci)
         if st is None:
             continue
@@ -125,7 +143,7 @@ def _exact_quantiles(v: DataFrame, cols: list[str], wanted: dict[str, list[float
                 acc += r["cnt"]
         open_ = nxt
     out: dict[str, list[float | None]] = {}
-    for ci, c in enumerate(cols):
+    for ci, c in zip(keys, cols):
         if ci not in plans:
             out[c] = [None for _ in wanted[c]]
             continue
@@ -276,10 +294,16 @@ def box_numbers(df: DataFrame, group: str, col: str, approx: bool = False) -> Da
     """
     if approx:
         qs = F.percentile_approx(col, [0.25, 0.5, 0.75], 100000)
+        qt = df.groupBy(group).agg(qs.alias("q"), F.count(col).alias("n"))
     else:
-        qs = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    qt = df.groupBy(group).agg(qs.alias("q"), F.count(col).alias("n")).select(
-        group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+        # exact quartiles by bucketed selection (no per-group value map in one task); the
+        # group set is a dimension, so the quartile table is small and built from literals
+        quart = exact_quantiles_by_group(df, group, col, [0.25, 0.5, 0.75])
+        spark = df.sparkSession
+        qrows = spark.createDataFrame([(k, [float(x) for x in q]) for k, q in quart.items()],
+                                      T.StructType([df.schema[group], T.StructField("q", T.ArrayType(T.DoubleType()))]))
+        qt = df.groupBy(group).agg(F.count(col).alias("n")).join(F.broadcast(qrows), group)
+    qt = qt.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     qt = qt.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = df.select(group, col).join(qt, group)
     lo_fence = F.col("q1") - 1.5 * F.col("iqr")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.session import shared_dir
+
 
 def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """(value, rows_below, n) for every distinct non-null value of ``col``."""
@@ -23,6 +25,11 @@ def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataF
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
     ranged = counts.repartitionByRange(parts, col).withColumn("_pid", F.spark_partition_id())
+    # both branches below must see the same partition labels (adaptive execution may coalesce
+    # the range exchange differently per consumer): checkpoint the labelled distinct values
+    # once to the shared folder (one row per distinct value)
+    shared_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     local = ranged.withColumn(
         "_below_local",
         F.sum("_c").over(Window.partitionBy("_pid").orderBy(col)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendspark.functions.temporal import hours_between
+from trendspark.session import shared_dir
 
 DEFAULT_KEY = ("video_id", "category_id", "region")
 DEFAULT_VALUES = ("views", "likes", "comments")
@@ -62,20 +63,45 @@ def latest_per_key(df: DataFrame, key, time: str, tiebreak: str) -> DataFrame:
     return latest.select(*key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-def snapshot_deltas(df: DataFrame, key, time: str, tiebreak: str, values=DEFAULT_VALUES) -> DataFrame:
+def snapshot_deltas(df: DataFrame, key, time: str, tiebreak: str, values=DEFAULT_VALUES,
+                    partitions: int | None = None) -> DataFrame:
     """W5 (row form): change since the previous snapshot of the same key and its rate per hour.
 
-    A lag window sorts each key's rows; keys are items, whose snapshot count is
-    bounded by the polling schedule, so no partition holds an unbounded group.
+    Skew-safe lag: rows are range-partitioned on (key, time, tie-break), so a key holding a
+    third of all rows is cut into several pieces; ``lag`` runs inside each (piece, key)
+    group (bounded by one range partition), and the first row of a piece takes its
+    predecessor from the last row of the previous piece of the same key. Only keys cut by
+    a range boundary have pieces to patch, so that table has at most 2 x (partitions - 1)
+    rows and is broadcast.
     """
-    w = Window.partitionBy(*key).orderBy(F.col(time), F.col(tiebreak))
-    prev_t = F.lag(time).over(w)
-    out = df.withColumn("hours_since_prev", hours_between(prev_t, F.col(time)))
+    key = list(key)
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*key, time, tiebreak]
+    r = df.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn("_pid", F.spark_partition_id())
+    # the piece labels must be the same in both branches below (adaptive execution may read the
+    # range exchange with different partition coalescing per consumer): checkpoint them once to
+    # the shared folder, which also cuts the lineage
+    shared_dir(df.sparkSession)
+    r = r.checkpoint(eager=True)
+    w = Window.partitionBy("_pid", *key).orderBy(F.col(time), F.col(tiebreak))
+    local = r.withColumns({"_prev_t": F.lag(time).over(w), **{f"_prev_{v}": F.lag(v).over(w) for v in values}})
+    ends = r.groupBy("_pid", *key).agg(
+        F.max(F.struct(F.col(time).alias("t"), F.col(tiebreak).alias("id"),
+                       *[F.col(v).alias(v) for v in values])).alias("_last"))
+    cut = ends.groupBy(*key).agg(F.count(F.lit(1)).alias("_pieces")).where(F.col("_pieces") > 1).select(*key)
+    pieces = ends.join(cut, key, "left_semi")
+    pred = (pieces.select("_pid", *key, F.lag("_last").over(Window.partitionBy(*key).orderBy("_pid")).alias("_pred"))
+            .where(F.col("_pred").isNotNull()))
+    j = local.join(F.broadcast(pred), ["_pid", *key], "left")
+    first_of_piece = F.col("_prev_t").isNull() & F.col("_pred").isNotNull()
+    prev_t = F.when(first_of_piece, F.col("_pred.t")).otherwise(F.col("_prev_t"))
+    out = j.withColumn("hours_since_prev", hours_between(prev_t, F.col(time)))
     for v in values:
-        out = out.withColumn(f"{v}_delta", (F.col(v) - F.lag(v).over(w)).cast("double"))
+        prev_v = F.when(first_of_piece, F.col(f"_pred.{v}")).otherwise(F.col(f"_prev_{v}"))
+        out = out.withColumn(f"{v}_delta", (F.col(v) - prev_v).cast("double"))
         out = out.withColumn(f"{v}_delta_per_hour",
                              F.when(F.col("hours_since_prev") > 0, F.col(f"{v}_delta") / F.col("hours_since_prev")))
-    return out
+    return out.drop("_pid", "_prev_t", "_pred", *[f"_prev_{v}" for v in values])
 
 
 def keys_with_multiple(df: DataFrame, key) -> DataFrame:
