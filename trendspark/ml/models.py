@@ -2,7 +2,8 @@
 
 Estimator defaults follow the analysed application: forest 100 trees with
 sqrt feature sampling (depth capped at Spark's maximum, 30), boosting 100
-rounds / step 0.1 / depth 3 / sqrt features, logistic C=1 (L2), ridge alpha=1.
+rounds / step 0.1 / depth 3 / sqrt features, logistic C=1 (L2, stopping
+tolerance 1e-4 as in the original's library), ridge alpha=1.
 sklearn's C and alpha are mapped to Spark's regParam on the training set
 (logistic: 1/(C n); ridge: alpha * sd(y) / n, both without standardization).
 """
@@ -63,7 +64,7 @@ def classifier(algorithm: str, n_train: int | None = None, label: str = "label",
     elif algorithm == "logistic":
         c = params.pop("C", 1.0)
         est = LogisticRegression(regParam=1.0 / (c * max(n_train or 1, 1)), elasticNetParam=0.0,
-                                 standardization=False, maxIter=100)
+                                 standardization=False, maxIter=100, tol=1e-4)
     else:
         raise ValueError(f"unknown classifier {algorithm}")
     est.setLabelCol(label).setFeaturesCol("features")

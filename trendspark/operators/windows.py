@@ -5,9 +5,9 @@ without the single-partition global window Spark would plan for
 ``percent_rank().over(Window.orderBy(col))``:
 
 1. distinct values with their counts (partial aggregation: a hot value is one row),
-2. range partitioning of those values (ascending ranges -> ascending partition ids),
-3. running count inside each partition (window per partition id),
-4. per-partition totals (at most ``partitions`` rows) turned into offsets,
+2. approximate cut points of those values (one bounded row) label ascending pieces,
+3. running count inside each piece (window per piece),
+4. per-piece totals (at most ``partitions`` rows) turned into offsets,
 5. rank = offset + running count below; mapped back by an equi-join on the value.
 """
 
@@ -16,25 +16,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendspark.session import shared_dir
-
 
 def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
-    """(value, rows_below, n) for every distinct non-null value of ``col``."""
+    """(value, rows_below, n) for every distinct non-null value of ``col``.
+
+    Pieces are labelled from the data, not from partition ids: ``percentile_approx`` over the
+    distinct values gives at most ``partitions`` - 1 cut points (one bounded row), and a
+    value's piece is the number of cut points at or below it. Running counts are taken
+    inside pieces; piece totals (at most ``partitions`` rows) become offsets.
+    """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    ranged = counts.repartitionByRange(parts, col).withColumn("_pid", F.spark_partition_id())
-    # both branches below must see the same partition labels (adaptive execution may coalesce
-    # the range exchange differently per consumer): checkpoint the labelled distinct values
-    # once to the shared folder (one row per distinct value)
-    shared_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-    local = ranged.withColumn(
+    fractions = [i / parts for i in range(1, parts)]
+    cuts = counts.agg(F.percentile_approx(col, fractions, 10000).alias("_cuts")) if fractions else \
+        counts.agg(F.array().alias("_cuts"))
+    # cuts is one row (an ungrouped aggregate): broadcast beside the distinct values
+    labelled = counts.crossJoin(F.broadcast(cuts)).withColumn(
+        "_pid", F.size(F.filter(F.col("_cuts"), lambda b: b <= F.col(col)))).drop("_cuts")
+    local = labelled.withColumn(
         "_below_local",
         F.sum("_c").over(Window.partitionBy("_pid").orderBy(col)
                          .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c"))
-    totals = ranged.groupBy("_pid").agg(F.sum("_c").alias("_pc"))
+    totals = labelled.groupBy("_pid").agg(F.sum("_c").alias("_pc"))
     offsets = totals.withColumn(
         "_off", F.coalesce(F.sum("_pc").over(Window.orderBy("_pid")
                                              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -63,4 +63,13 @@ def materialize(spark: SparkSession, df, name: str):
     lineage, and a lost executor costs a re-read, not a recomputation from raw text."""
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    # partitions sized by the bytes written (one per maxPartitionBytes): a small training table
+    # becomes one partition, so iterative fits do not pay task overhead per empty-ish split,
+    # while a large one keeps its file splits
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    want = max(1, -(-size // split))
+    return back.coalesce(want) if want < back.rdd.getNumPartitions() else back
