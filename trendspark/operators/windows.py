@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.session import shared_dir
+
 
 def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """(value, rows_below, n) for every distinct non-null value of ``col``.
@@ -28,6 +30,10 @@ def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataF
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    # the distinct values feed four branches (cut points, running counts, totals, n): write them
+    # once to the shared folder so the upstream plan runs once (and the lineage is cut)
+    shared_dir(spark)
+    counts = counts.checkpoint(eager=True)
     fractions = [i / parts for i in range(1, parts)]
     cuts = counts.agg(F.percentile_approx(col, fractions, 10000).alias("_cuts")) if fractions else \
         counts.agg(F.array().alias("_cuts"))

@@ -19,12 +19,16 @@ from trendspark import schema as S
 from trendspark.functions import numeric as N
 from trendspark.functions import temporal as TM
 from trendspark.operators.stats import safe_corr
+from trendspark.session import shared_dir
 from trendspark.operators.windows import argmax_per_group, global_percent_rank
 
 SCORE_WEIGHTS = {"views_per_video": 0.5, "avg_engagement": 0.3, "video_count": 0.2}
 
 
 def _scored(stats: DataFrame, out: str) -> DataFrame:
+    # three ranks read the same per-channel (per-category) table: compute it once
+    shared_dir(stats.sparkSession)
+    stats = stats.checkpoint(eager=True)
     for c in SCORE_WEIGHTS:
         stats = global_percent_rank(stats, c, f"_pr_{c}")
     score = sum((F.col(f"_pr_{c}") * w for c, w in SCORE_WEIGHTS.items()), F.lit(0.0)) * 100
