@@ -18,7 +18,7 @@ from trendspark.operators import filters as P
 from trendspark.operators import lookups as J
 from trendspark.operators import stats as ST
 from trendspark.sources import adapters as A
-from trendspark.sources.tables import read_table
+from trendspark.sources.tables import read_table, spread
 
 
 def _case_bins(x: str, edges, labels) -> str:
@@ -239,8 +239,8 @@ FROM (SELECT l_orderkey, l_linenumber, {_ISO_SQL} AS duration_text FROM lineitem
 @query("iso_duration_parse", SQL_ISO)
 def iso_duration_parse(spark, sf):
     """ISO-8601 text derived from every line item -> seconds (day part ignored)."""
-    li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag",
-                                             "l_linestatus"])
+    li = spread(read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag",
+                                                    "l_linestatus"]))  # regex work per row
     ln = F.col("l_linenumber").cast("string")
     text = F.concat(
         F.lit("P"), F.when(F.col("l_linestatus") == "F", F.concat(ln, F.lit("D"))).otherwise(F.lit("")),
