@@ -36,20 +36,22 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured for the session.
-    Only when nothing is configured (tests, local runs) a scratch folder is made
-    and registered, so later ``checkpoint()`` calls work too.
+    On a cluster this is ``spark.checkpoint.dir`` as configured for the session. Only where
+    nothing is configured (tests, local runs on one machine) a scratch folder is made and set
+    as the context's checkpoint folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         return conf_dir.rstrip("/")
-    jsc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jsc_dir.isDefined():
-        return jsc_dir.get().rstrip("/")
+    sc = spark.sparkContext
+    set_dir = sc._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="trendspark-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(local)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
