@@ -85,10 +85,10 @@ QUERIES = {f.__name__: f for f in (op1_cover_tree_search, op2_license_scan, op3_
 ORACLE = {
     "op1_cover_tree_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
             SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
             FROM v q JOIN v ON v.vec_id <> q.vec_id
@@ -101,7 +101,7 @@ ORACLE = {
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
             FROM documents),
         s AS (
-            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
             FROM w),
         t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
@@ -123,8 +123,8 @@ ORACLE = {
             SELECT d.*, r.rate, coalesce(CAST(d.doc_id AS VARCHAR), 'text ' || md5(coalesce(d.text, ''))) AS key
             FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
         c AS (
-            SELECT *, CAST(len(list_filter(range(0, 400), k ->
-                       list_sum(list_transform(range(0, k + 1), j -> exp(-rate + j * ln(rate) - lgamma(j + 1))))
+            SELECT *, CAST(len(list_filter(range(0, 400), lambda k:
+                       list_sum(list_transform(range(0, k + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1))))
                        <= CAST('0x' || substr(md5('17:' || key), 1, 13) AS BIGINT) / 4503599627370496.0)) AS INTEGER) AS n_copies
             FROM u),
         x AS (SELECT *, unnest(range(0, n_copies)) AS k FROM c WHERE n_copies > 0)
