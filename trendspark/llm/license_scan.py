@@ -76,8 +76,8 @@ def _standing(found: Column) -> Column:
     order = F.sort_array(F.transform(found, lambda d: F.struct(d["begin"].alias("begin"), (-d["end"]).alias("minus_end"), (-d["priority"]).alias("minus_priority"), d["rule"].alias("rule"), d.alias("d"))))
 
     def keep(sorted_):
-        ends = [F.transform(sorted_, lambda x, t=t: F.when(x["d"]["priority"] >= t, x["d"]["end"]).otherwise(F.lit(-1))) for t in (1, 2, 3)]
-        by_priority = F.array(*ends)
+        ends_from = lambda t: F.transform(sorted_, lambda x: F.when(x["d"]["priority"] >= t, x["d"]["end"]).otherwise(F.lit(-1)))
+        by_priority = F.array(*(ends_from(t) for t in (1, 2, 3)))
 
         def inside(e, x, i):
             before = F.array_max(F.slice(F.get(e, x["d"]["priority"] - 1), F.lit(1), F.greatest(i, F.lit(1))))
