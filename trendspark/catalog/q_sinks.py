@@ -85,6 +85,6 @@ def upsert_roundtrip(spark, sf):
 
 @query("stream_snapshot_sink")
 def stream_snapshot_sink(spark, sf):
-    """T2 + S12: the tagged snapshot stream appended to a Parquet table (exactly-once via checkpoint)."""
+    """T2 + S12: the tagged snapshot stream appended to a Parquet table (a replayed batch replaces itself)."""
     from trendspark.streaming import ingest as I
     return I.run_to_table(spark, I.snapshot_stream(spark, sf), "snapshot-sink", output_mode="append")

@@ -81,10 +81,10 @@ def _requests_body() -> str:
     from trendspark.catalog.sql_text import parse_tags
     return f"""
 SELECT t.doc_id, t.title, t.description, {parse_tags('t.tags')} AS tags,
-       CAST(p.p_size AS BIGINT) * 30 AS duration_seconds, {_REQ_CATS}[p.p_size % 11 + 1] AS category_id,
-       CAST(p.p_size % 24 AS INTEGER) AS publish_hour, CAST(p.p_size % 7 AS INTEGER) AS publish_weekday,
-       CAST(p.p_size % 12 + 1 AS INTEGER) AS publish_month
-FROM texts t JOIN part p ON p.p_partkey = t.doc_id + 1
+       CAST(t.size AS BIGINT) * 30 AS duration_seconds, {_REQ_CATS}[t.size % 11 + 1] AS category_id,
+       CAST(t.size % 24 AS INTEGER) AS publish_hour, CAST(t.size % 7 AS INTEGER) AS publish_weekday,
+       CAST(t.size % 12 + 1 AS INTEGER) AS publish_month
+FROM (SELECT *, doc_id * 7919 % 50 + 1 AS size FROM texts) t
 """
 
 

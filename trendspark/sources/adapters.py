@@ -120,23 +120,23 @@ REQUEST_CATEGORIES = ["1", "10", "17", "20", "22", "23", "24", "25", "26", "27",
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring requests: each text paired with the part whose key is doc_id + 1.
+    """Scoring requests: one for each text.
 
-    title/description/tags from the text; duration = p_size * 30 s; category id picked
-    from the ids the scoring rules know (p_size mod 11); hour/weekday/month from p_size.
+    title/description/tags from the text; a size of 1 to 50 from the id; duration = size * 30 s;
+    category id picked from the ids the scoring rules know (size mod 11); hour/weekday/month
+    from the size.
     """
     from trendspark.functions.arrays import parse_tags
     t = texts(spark, sf_dir)
-    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
-    j = t.join(p, p.p_partkey == t.doc_id + 1)
+    j = t.withColumn("size", F.pmod(F.col("doc_id") * 7919, F.lit(50)) + 1)
     cats = F.array(*[F.lit(c) for c in REQUEST_CATEGORIES])
     return j.select(
         "doc_id", "title", "description", parse_tags("tags").alias("tags"),
-        (F.col("p_size").cast("bigint") * 30).alias("duration_seconds"),
-        F.element_at(cats, (F.col("p_size") % 11 + 1).cast("int")).alias("category_id"),
-        (F.col("p_size") % 24).cast("int").alias("publish_hour"),
-        (F.col("p_size") % 7).cast("int").alias("publish_weekday"),
-        (F.col("p_size") % 12 + 1).cast("int").alias("publish_month"),
+        (F.col("size").cast("bigint") * 30).alias("duration_seconds"),
+        F.element_at(cats, (F.col("size") % 11 + 1).cast("int")).alias("category_id"),
+        (F.col("size") % 24).cast("int").alias("publish_hour"),
+        (F.col("size") % 7).cast("int").alias("publish_weekday"),
+        (F.col("size") % 12 + 1).cast("int").alias("publish_month"),
     )
 
 

@@ -58,13 +58,17 @@ def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "complete",
                  path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Drain ``stream`` (availableNow) into Parquet at ``path`` and return the batch view of it."""
+    """Drain ``stream`` (availableNow) into Parquet at ``path`` and return the batch view of it.
+
+    Each micro-batch overwrites a folder of its own (``batch_id=N``), so a batch that is replayed
+    after a lost commit replaces itself. In append mode the table is all batches, in complete mode
+    the last one; an earlier result stays readable until the next one is complete.
+    """
     path = path or scratch_path(spark, f"{name}-table")
     checkpoint = checkpoint or scratch_path(spark, f"{name}-checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mode = "overwrite" if output_mode == "complete" else "append"
-        batch.write.mode(mode).parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     q = (stream.writeStream.outputMode(output_mode)
          .option("checkpointLocation", checkpoint)
@@ -74,4 +78,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover - surfaced to the caller
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    if output_mode == "complete":
+        last = table.agg(F.max("batch_id")).first()[0]
+        table = spark.read.parquet(f"{path}/batch_id={last}") if last is not None else table
+    return table.drop("batch_id")
