@@ -314,9 +314,8 @@ def linked_rows(docs: DataFrame, n: int = N) -> DataFrame:
     of_groups = postings_left.join(members, "grp").select("token", "node", "size", "end", "most")
     many = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
     within = members.join(many, "grp").select(F.col("grp").alias("token"), "node", "size", "end", F.col("size").cast("long").alias("most"))
-    lists = written(of_groups.union(within), "node-lists")
-    nodes = lists.select("node").distinct()
-    sets = _whole_sets(docs, rows.where("node is not null"), nodes, n)
+    lists = written(_with_a_partner(of_groups.union(within)), "node-lists")
+    full = rows.where("node is not null")
 
     spark = docs.sparkSession
     edges = spark.createDataFrame([], "a binary, b binary")
@@ -327,8 +326,11 @@ def linked_rows(docs: DataFrame, n: int = N) -> DataFrame:
         mixed = named.groupBy("token").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("token")
         left = named.join(mixed, "token")
         pairs = _crossing(left) if salt is None else _with_hub(left, salt)
-        new = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        result = written(_verified(new, sets), "verified")
+        new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            continue
+        nodes = new.select(F.col("a").alias("node")).union(new.select("b")).distinct()
+        result = written(_verified(new, _whole_sets(docs, full, nodes, n)), "verified")
         tried = tried.union(result.select("a", "b"))
         found = result.where("linked").select("a", "b")
         if found.isEmpty():
@@ -345,6 +347,16 @@ def _may_link(x: str, y: str):
     return F.expr(f"least({x}.size, {y}.size) * {DENOMINATOR} >= greatest({x}.size, {y}.size) * {NUMERATOR} and ({reach(x, y)} or {reach(y, x)})")
 
 
+def _with_a_partner(lists: DataFrame) -> DataFrame:
+    """The rows of each token's list that can link with another row of it at all: by ``_may_link``,
+    one of the two must reach the size of the other, so rows stay that reach the list's smallest
+    size, or that the list's widest reach covers."""
+    reach = F.expr(f"({NUMERATOR + DENOMINATOR} * most) div {NUMERATOR} - size")
+    of_token = lists.withColumn("reach", reach).groupBy("token").agg(F.min("size").alias("smallest"), F.max("reach").alias("widest"), F.count(F.lit(1)).alias("n"))
+    of_token = of_token.where("n > 1 and widest >= smallest").select("token", "smallest", "widest")
+    return lists.join(of_token, "token").where((reach >= F.col("smallest")) | (F.col("size") <= F.col("widest"))).select(*lists.columns)
+
+
 def _with_hub(lists: DataFrame, salt: int) -> DataFrame:
     """Each node with the hub of its token and size class, the least by a salted hash: first the
     same node wherever it stands, later another one for each token."""
