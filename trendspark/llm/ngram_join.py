@@ -308,12 +308,17 @@ def linked_rows(docs: DataFrame, n: int = N) -> DataFrame:
     members = kept.where("size < 0").select(F.col("token").alias("grp"), "node", (-F.col("size")).alias("size"), "end").distinct()
     postings_left = kept.where("size > 0").select("token", "grp")
     after_prefix = F.expr(f"(size * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} - 1")
-    # what a node can share with one whose prefix ends later: what of its prefix stands in a list, and what follows the prefix
-    n_shared = postings_left.groupBy("grp").agg(F.count(F.lit(1)).alias("shared"))
-    members = members.join(n_shared, "grp", "left").withColumn("most", after_prefix + F.coalesce("shared", F.lit(0)))
-    of_groups = postings_left.join(members, "grp").select("token", "node", "size", "end", "most")
+    # If a list's n-gram is the first that two nodes share, in the order of the lists' lengths, a node shares with one whose
+    # prefix ends later at most its own listed n-grams from this one on, and what follows its prefix. So each list but the
+    # first of a pair has a smaller bound, and long lists, which come last, lose most of their rows.
+    length = postings_left.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
+    of_group = Window.partitionBy("grp")
+    from_here = F.row_number().over(of_group.orderBy(F.desc("length"), F.desc("token"))).alias("from_here")
+    placed = postings_left.join(length, "token").select("token", "grp", from_here, F.count(F.lit(1)).over(of_group).alias("shared"))
+    most, central = (after_prefix + F.col("from_here")).alias("most"), F.floor(100 * (after_prefix + F.col("shared")) / F.col("size")).alias("central")
+    of_groups = placed.join(members, "grp").select("token", "node", "size", "end", most, central)
     many = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    within = members.join(many, "grp").select(F.col("grp").alias("token"), "node", "size", "end", F.col("size").cast("long").alias("most"))
+    within = members.join(many, "grp").select(F.col("grp").alias("token"), "node", "size", "end", F.col("size").cast("long").alias("most"), F.lit(100).cast("long").alias("central"))
     lists = written(_with_a_partner(of_groups.union(within)), "node-lists")
     full = rows.where("node is not null")
 
@@ -358,11 +363,12 @@ def _with_a_partner(lists: DataFrame) -> DataFrame:
 
 
 def _with_hub(lists: DataFrame, salt: int) -> DataFrame:
-    """Each node with the hub of its token and size class, the least by a salted hash: first the
-    same node wherever it stands, later another one for each token."""
+    """Each node with the hub of its token and size class: first the node that shares the largest
+    part of its n-grams with others (the text that near copies come from, not one of its changed
+    copies; ties by a hash, the same node wherever it stands), later another one for each token."""
     ratio = math.log(DENOMINATOR / NUMERATOR)
     size_class = F.floor(F.log(F.col("size")) / F.lit(ratio))
-    key = F.xxhash64("node", F.lit(salt)) if salt == 0 else F.xxhash64("node", "token", F.lit(salt))
+    key = F.struct(-F.col("central"), F.xxhash64("node")) if salt == 0 else F.xxhash64("node", "token", F.lit(salt))
     own = F.struct("node", "size", "label", "end", "most")
     hub = F.min(F.struct(key, own.alias("x"))).over(Window.partitionBy("token", size_class))["x"]
     paired = lists.select(own.alias("x"), hub.alias("y")).where("x.node <> y.node and x.label <> y.label").where(_may_link("x", "y"))
