@@ -313,12 +313,13 @@ def linked_rows(docs: DataFrame, n: int = N) -> DataFrame:
     # first of a pair has a smaller bound, and long lists, which come last, lose most of their rows.
     length = postings_left.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
     of_group = Window.partitionBy("grp")
-    from_here = F.row_number().over(of_group.orderBy(F.desc("length"), F.desc("token"))).alias("from_here")
-    placed = postings_left.join(length, "token").select("token", "grp", from_here, F.count(F.lit(1)).over(of_group).alias("shared"))
+    backwards = of_group.orderBy(F.desc("length"), F.desc("token"))
+    from_here, before = F.row_number().over(backwards).alias("from_here"), F.lead("token").over(backwards).alias("before")
+    placed = postings_left.join(length, "token").select("token", "grp", from_here, before, F.count(F.lit(1)).over(of_group).alias("shared"))
     most, central = (after_prefix + F.col("from_here")).alias("most"), F.floor(100 * (after_prefix + F.col("shared")) / F.col("size")).alias("central")
-    of_groups = placed.join(members, "grp").select("token", "node", "size", "end", most, central)
+    of_groups = placed.join(members, "grp").select("token", "node", "size", "end", most, central, "before")
     many = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    within = members.join(many, "grp").select(F.col("grp").alias("token"), "node", "size", "end", F.col("size").cast("long").alias("most"), F.lit(100).cast("long").alias("central"))
+    within = members.join(many, "grp").select(F.col("grp").alias("token"), "node", "size", "end", F.col("size").cast("long").alias("most"), F.lit(100).cast("long").alias("central"), F.lit(None).cast("long").alias("before"))
     lists = written(_with_a_partner(of_groups.union(within)), "node-lists")
     full = rows.where("node is not null")
 
@@ -348,7 +349,8 @@ def linked_rows(docs: DataFrame, n: int = N) -> DataFrame:
 def _may_link(x: str, y: str):
     """Whether the sizes, and what a node can share at most, allow a link."""
     least = f"{NUMERATOR} * ({x}.size + {y}.size)"
-    reach = lambda p, q: f"({p}.end <= {q}.end and {NUMERATOR + DENOMINATOR} * {p}.most >= {least})"
+    after = lambda p: f"(({p}.size * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    reach = lambda p, q: f"({p}.end <= {q}.end and {NUMERATOR + DENOMINATOR} * least({p}.most, {q}.most + {after(p)} - {after(q)}) >= {least})"
     return F.expr(f"least({x}.size, {y}.size) * {DENOMINATOR} >= greatest({x}.size, {y}.size) * {NUMERATOR} and ({reach(x, y)} or {reach(y, x)})")
 
 
@@ -376,9 +378,10 @@ def _with_hub(lists: DataFrame, salt: int) -> DataFrame:
 
 
 def _crossing(lists: DataFrame) -> DataFrame:
-    """All pairs of nodes of one token, in different components, that may link."""
+    """All pairs of nodes of one token, in different components, that may link, and for which it
+    may be the first shared one: where both have the same n-gram before it, an earlier list has the pair."""
     x, y = lists.alias("x"), lists.alias("y")
-    both = x.join(y, F.expr("x.token = y.token and x.node < y.node and x.label <> y.label") & _may_link("x", "y"))
+    both = x.join(y, F.expr("x.token = y.token and x.node < y.node and x.label <> y.label and not coalesce(x.before = y.before, false)") & _may_link("x", "y"))
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
