@@ -45,7 +45,7 @@ N, NUMERATOR, DENOMINATOR = 5, 3, 4
 CHUNK_CHARS = 1_500_000
 COUNTERS, BLOCK = 1 << 20, 1 << 13
 BITMAP_BITS = 1 << 23
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
