@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 K, SCALE, BLOCK_ROWS, QUERY_ROWS = 5, 256, 4096, 4096
 LEAF, STEP = 24, 1.6
+CENTERS, FIRST, POINTS = 256, 128, 1024  # taken at a time: centres of a cover, first and later nodes of a comparison
 LONG = np.iinfo(np.int64)
 
 
@@ -50,6 +51,23 @@ class CoverTree:
         self.norms = np.sqrt((self.centers**2).sum(axis=1))
         self.radii = np.array(self.radius)
 
+    def _cover(self, own: np.ndarray, scale: float) -> list[np.ndarray]:
+        """Greedy balls around the first point that is left; distances are taken ``CENTERS`` points at a time."""
+        parts, rest = [], own
+        while len(rest):
+            points = self.points[rest]
+            square = (points**2).sum(axis=1)
+            near = square[:CENTERS, None] + square - 2 * (points[:CENTERS] @ points.T) <= scale * scale
+            free = np.ones(len(rest), bool)
+            for i in range(len(near)):
+                if free[i]:
+                    mine = near[i] & free
+                    mine[i] = True
+                    parts.append(rest[mine])
+                    free &= ~mine
+            rest = rest[free]
+        return parts
+
     def _node(self, own: np.ndarray) -> tuple[int, np.ndarray]:
         far = np.sqrt(((self.points[own] - self.points[own[0]]) ** 2).sum(axis=1))
         self.center.append(int(own[0]))
@@ -66,11 +84,7 @@ class CoverTree:
             own = self.members[node]
             if len(own) <= LEAF or not self.radius[node]:
                 continue
-            parts, rest = [], own
-            while len(rest):
-                near = ((self.points[rest] - self.points[rest[0]]) ** 2).sum(axis=1) <= scale * scale
-                parts.append(rest[near])
-                rest = rest[~near]
+            parts = self._cover(own, scale)
             if len(parts) == 1:
                 todo.append((node, scale / STEP))
                 continue
@@ -81,82 +95,106 @@ class CoverTree:
 
 
 class Search:
-    """One walk of a query tree against a data tree."""
+    """One walk of a query tree against a data tree; ``score`` and ``found`` hold the ``count``
+    best scores of each query and their ids, in order."""
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-        # equal rows become one point with all their ids, in order
+        # of equal rows only the k + 1 smallest ids, and k rows of each, can be found: one of the ids may be the query's own
         by = np.lexsort((ids, *rows.T[::-1])) if rows.shape[1] else np.argsort(ids, kind="stable")
         rows, ids = rows[by], ids[by]
-        new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
-        first = np.flatnonzero(new)
-        self.ids, self.at = ids, np.append(first, len(ids))
-        self.q_exact, self.r_exact = queries, rows[first]
-        self.q, self.r = queries.astype(float), self.r_exact.astype(float)
+        if len(ids):
+            at = np.arange(len(ids))
+            new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
+            new_id = new | np.append(True, ids[1:] != ids[:-1])
+            since = lambda start: at - np.maximum.accumulate(np.where(start, at, 0))
+            different = np.cumsum(new_id)
+            nth_id = different - different[at - since(new)]
+            some = (nth_id <= k) & (since(new_id) < k)
+            rows, ids = rows[some], ids[some]
+        self.ids, self.q_exact, self.r_exact = ids, queries, rows
+        self.q, self.r = queries.astype(float), rows.astype(float)
         most = max((float(np.abs(x).max()) if x.size else 0.0) for x in (self.q, self.r))
         self.plain = most * most * max(1, rows.shape[1]) < 2**53
         self.query_ids, self.k = query_ids, k
-        self.best: list[list[tuple[int, int]]] = [[] for _ in range(len(queries))]  # (-score, id), sorted
-        self.worst = np.full(len(queries), -np.inf)
+        self.score = np.zeros((len(queries), k), np.int64)
+        self.found = np.zeros((len(queries), k), np.int64)
+        self.count = np.zeros(len(queries), np.int64)
+        self.worst = np.full(len(queries), LONG.min)
         self.qt, self.rt = CoverTree(self.q), CoverTree(self.r)
-        if len(queries) and len(self.r):
-            self.walk(0, np.array([0]))
+        self.leaf = np.array([not c for c in self.rt.children], bool)
+        if len(queries) and len(rows):
+            self.walk(0, np.array([0]), self.limits([0], np.array([0]))[0])
 
-    def limits(self, q: int, nodes: np.ndarray) -> np.ndarray:
-        """Largest inner product that a query and a point below each node can have."""
+    def limits(self, asked: list[int], nodes: np.ndarray) -> np.ndarray:
+        """Largest inner product that a point below each query node and one below each data node can have."""
         qt, rt = self.qt, self.rt
-        middle = rt.centers[nodes] @ qt.centers[q]
-        more = qt.radii[q] * rt.norms[nodes] + rt.radii[nodes] * (qt.norms[q] + qt.radii[q])
-        return middle + more + 1e-9 * (np.abs(middle) + more) + 1e-6
+        middle = qt.centers[asked] @ rt.centers[nodes].T
+        more = qt.radii[asked][:, None] * rt.norms[nodes] + rt.radii[nodes] * (qt.norms[asked] + qt.radii[asked])[:, None]
+        return np.maximum(middle + more + 1e-9 * (np.abs(middle) + more) + 1e-6, float(LONG.min))
 
-    def walk(self, q: int, nodes: np.ndarray) -> None:
-        """``nodes``: data nodes that still count for the query node ``q``."""
+    def walk(self, q: int, nodes: np.ndarray, limit: np.ndarray) -> None:
+        """``nodes``: data nodes that still count for the query node ``q``, with their limits."""
+        own, most = self.qt.members[q], FIRST
         while True:
-            limit = self.limits(q, nodes)
-            own = self.qt.members[q]
-            floor = self.worst[own].min()
-            keep = limit >= floor  # on a tie a smaller id may still come
+            keep = limit >= self.worst[own].min()  # on a tie a smaller id may still come
             nodes, limit = nodes[keep], limit[keep]
             if not len(nodes):
                 return
-            nodes = nodes[np.argsort(-limit, kind="stable")]
             if self.qt.children[q]:
-                grown = [c for n in nodes.tolist() for c in (self.rt.children[n] if self.rt.radii[n] > self.qt.radii[q] and self.rt.children[n] else [n])]
-                for child in self.qt.children[q]:
-                    self.walk(child, np.array(grown))
-                return
-            ready = [n for n in nodes[:8].tolist() if not self.rt.children[n]]
-            for n in ready:
-                self.compare(own, self.rt.members[n])
-            left = [n for n in nodes[:8].tolist() if self.rt.children[n]]
-            nodes = np.array([c for n in left for c in self.rt.children[n]] + nodes[8:].tolist(), np.int64)
-            if not len(nodes):
+                finer = ~self.leaf[nodes] & (self.rt.radii[nodes] > self.qt.radii[q])
+                grown = np.append(nodes[~finer], self.below(nodes[finer]))
+                todo = self.qt.children[q]
+                for at in range(0, len(todo), CENTERS):
+                    some = todo[at : at + CENTERS]
+                    for child, its in zip(some, self.limits(some, grown), strict=True):
+                        self.walk(child, grown, its)
                 return
+            if len(nodes) > most:
+                order = np.argpartition(limit, -most)
+                now, nodes, limit = nodes[order[-most:]], nodes[order[:-most]], limit[order[:-most]]
+            else:
+                now, nodes, limit = nodes, nodes[:0], limit[:0]
+            most = POINTS  # the first ones raise the worst score that the others must reach
+            ready = now[self.leaf[now]]
+            for at in range(0, len(ready), POINTS):
+                self.compare(own, np.concatenate([self.rt.members[i] for i in ready[at : at + POINTS].tolist()]))
+            if len(ready) < len(now):
+                finer = self.below(now[~self.leaf[now]])
+                nodes, limit = np.append(nodes, finer), np.append(limit, self.limits([q], finer)[0])
+
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        return np.array([c for n in nodes.tolist() for c in self.rt.children[n]], np.int64)
 
     def compare(self, own: np.ndarray, points: np.ndarray) -> None:
+        """Scores of some queries with some points; each query keeps its k best."""
+        for at in range(0, len(own), CENTERS):
+            self._compare(own[at : at + CENTERS], points)
+
+    def _compare(self, own: np.ndarray, points: np.ndarray) -> None:
         if self.plain:
             scores = (self.q[own] @ self.r[points].T).astype(np.int64)
         else:
             exact = self.q_exact[own].astype(object) @ self.r_exact[points].astype(object).T
             scores = np.clip(exact, LONG.min, LONG.max).astype(np.int64)
-        hit, col = np.nonzero(scores >= self.worst[own][:, None])
-        for a, b in zip(hit.tolist(), col.tolist(), strict=True):
-            q, score = int(own[a]), int(scores[a, b])
-            mine = self.query_ids[q]
-            best = self.best[q]
-            if len(best) == self.k and -score > best[-1][0]:
-                continue
-            p = points[b]
-            taken = 0
-            for i in range(self.at[p], self.at[p + 1]):
-                if self.ids[i] != mine:
-                    best.append((-score, int(self.ids[i])))
-                    taken += 1
-                    if taken == self.k:
-                        break
-            best.sort()
-            del best[self.k :]
-            if len(best) == self.k:
-                self.worst[q] = -best[-1][0]
+        mine = self.ids[points] == self.query_ids[own][:, None]
+        scores[mine] = LONG.min
+        floor = self.worst[own]
+        if len(points) > self.k:
+            floor = np.maximum(floor, np.partition(scores, len(points) - self.k, axis=1)[:, len(points) - self.k])
+        a, b = np.nonzero((scores >= floor[:, None]) & ~mine)
+        had, place = np.nonzero(np.arange(self.k) < self.count[own][:, None])
+        at = np.append(a, had)
+        score = np.append(scores[a, b], self.score[own[had], place])
+        ids = np.append(self.ids[points[b]], self.found[own[had], place])
+        order = np.lexsort((ids, ~score, at))  # ~x falls as x rises, also at the ends of 64 bits
+        at, score, ids = at[order], score[order], ids[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        best = nth < self.k
+        at, nth, q = at[best], nth[best], own[at[best]]
+        self.score[q, nth], self.found[q, nth] = score[best], ids[best]
+        self.count[own] = np.bincount(at, minlength=len(own))
+        full = own[self.count[own] == self.k]
+        self.worst[full] = self.score[full, self.k - 1]
 
 
 def _blocks(rows: int, most: int) -> int:
@@ -189,11 +227,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
             have = left[left["v"].map(len) == size]
             if not len(have):
                 continue
-            ask = ask[~pd.Series([(i, *v) for i, v in zip(ask["vec_id"], ask["v"], strict=True)], index=ask.index).duplicated()]
             as_rows = lambda f, size=size: np.array([np.asarray(v, np.int64) for v in f["v"]], np.int64).reshape(len(f), size)
-            vectors, ids = as_rows(ask), ask["vec_id"].to_numpy(np.int64)
+            asked = np.unique(np.column_stack([ask["vec_id"].to_numpy(np.int64), as_rows(ask)]), axis=0)
+            ids, vectors = asked[:, 0], asked[:, 1:]
             search = Search(vectors, ids, as_rows(have), have["vec_id"].to_numpy(np.int64), k)
-            found += [(int(i), v.tobytes(), vec, -s) for i, v, best in zip(ids, vectors, search.best, strict=True) for s, vec in best]
+            found += [(int(i), v.tobytes(), int(vec), int(s)) for i, v, n, scores, best in zip(ids, vectors, search.count, search.score, search.found, strict=True) for s, vec in zip(scores[:n], best[:n], strict=True)]
         return pd.DataFrame(found, columns=["query_id", "vector", "vec_id", "score"])
 
     near = data.groupBy("d", "q").cogroup(asked.groupBy("d", "q")).applyInPandas(pair, "query_id long, vector binary, vec_id long, score long")
