@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,22 @@ def test_search_with_few_rows(spark):
     assert list(map(tuple, two.collect())) == [(0, 1, 1, 256 * 128)]
 
 
+@pytest.mark.parametrize("largest", [9, 3_000_000_000, 2**61])  # the last two saturate or need whole numbers beyond doubles
+def test_walk_equals_brute_force(largest):
+    low, high = cover_tree.LONG.min, cover_tree.LONG.max
+    draw = np.random.default_rng(1)
+    for t in range(12):
+        n = int(draw.integers(1, 300))
+        pool = draw.integers(-largest, largest, (max(1, n // (1 + t % 4 * 8)), int(draw.integers(1, 5))))  # equal rows
+        rows, ids = pool[draw.integers(0, len(pool), n)], draw.integers(0, max(2, n // (1 + t % 2 * 6)), n)  # repeated ids
+        asked = np.unique(np.column_stack([ids, rows])[: max(1, n // 3)], axis=0)
+        search = cover_tree.Search(asked[:, 1:], asked[:, 0], rows, ids, 5)
+        for j, (i, *v) in enumerate(asked.tolist()):
+            want = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), low), high), c) for c, w in zip(ids.tolist(), rows.tolist(), strict=True) if c != i)[:5]
+            m = search.count[j]
+            assert list(zip((-s for s in search.score[j, :m].tolist()), search.found[j, :m].tolist(), strict=True)) == want
+
+
 # --- near copies
 
 
