@@ -105,3 +105,17 @@ def test_skew_safe_lag_matches_window(spark):
     a = sorted((r["id"], r["views_delta"]) for r in got.select("id", "views_delta").collect())
     b = sorted((r["id"], r["views_delta"]) for r in ref.select("id", "views_delta").collect())
     assert a == b
+
+
+def test_vote_leaves_the_members_as_they_are(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from trendspark.ml import ensemble
+    from trendspark.ml import models as MD
+
+    rows = spark.createDataFrame([(float(i), float(i % 7), float(i > 20)) for i in range(40)], "x double, y double, label double")
+    members = {"a": MD.fit(rows, ["x", "y"], LogisticRegression(maxIter=5)), "b": MD.fit(rows, ["x"], LogisticRegression(maxIter=5))}
+    before = members["a"].transform(rows).columns
+    voted = ensemble.vote(rows, members, "classification")
+    assert {"score_a", "score_b", "score", "prediction"} <= set(voted.columns) and voted.count() == 40
+    assert members["a"].transform(rows).columns == before

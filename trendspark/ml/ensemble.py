@@ -14,11 +14,12 @@ from trendspark.ml import models as MD
 
 
 def _rename_outputs(model: PipelineModel, suffix: str) -> PipelineModel:
-    last = model.stages[-1]
+    """A copy of ``model`` whose output columns end in ``suffix``; the caller's model stays as it is."""
+    last = model.stages[-1].copy()
     for p in ("predictionCol", "probabilityCol", "rawPredictionCol"):
         if last.hasParam(p):
             last.set(last.getParam(p), f"{p.replace('Col', '')}_{suffix}")
-    return model
+    return PipelineModel([*model.stages[:-1], last])
 
 
 def score_members(df: DataFrame, members: dict[str, PipelineModel], kind: str) -> DataFrame:
@@ -26,7 +27,7 @@ def score_members(df: DataFrame, members: dict[str, PipelineModel], kind: str) -
     out = df
     for name, model in members.items():
         scored = _rename_outputs(model, name).transform(out)
-        vec = f"features"
+        vec = "features"
         if kind == "classification":
             scored = scored.withColumn(f"score_{name}", MD.positive_probability(f"probability_{name}"))
         else:
