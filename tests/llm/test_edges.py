@@ -192,3 +192,36 @@ def test_mixing(spark):
     again = mixing.mixed(docs.repartition(7), {"big": 1.0, "small": 3.0})
     assert again.exceptAll(mixed).count() == 0 and mixed.exceptAll(again).count() == 0
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def plain_poisson(u, rate):
+    """The least k with u < P(X <= k), by exact terms from far below the mean."""
+    k = max(0, math.floor(rate - 14 * math.sqrt(rate) - 30))
+    term = lambda k: math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+    total = term(k)
+    while u >= total:
+        k += 1
+        total += term(k)
+    return k
+
+
+def test_poisson_counts_at_any_rate(spark):
+    pairs = [(u, rate) for rate in (0.05, 1.0, 7.5, 199.0, 200.0, 201.0, 390.0, 800.0, 5000.0, 100_000.0) for u in (0.0, 1e-6, 0.01, 0.3, 0.5, 0.77, 0.999, 0.9999)]
+    table = spark.createDataFrame(pairs, "u double, rate double")
+    for r in table.select("u", "rate", mixing.poisson_count(F.col("u"), F.col("rate")).alias("k")).collect():
+        want = plain_poisson(r.u, r.rate) if r.u else max(0, r.k)
+        assert r.k == want, r
+        assert r.u or r.k <= max(0, r.rate - 11 * math.sqrt(r.rate))
+
+
+def test_mixing_of_a_source_with_few_documents(spark):
+    rows = [(i, "many", "en", "many", "n", "n") for i in range(40_000)] + [(100_000 + i, "few", "en", "few", "n", "n") for i in range(4)]
+    mixed = mixing.mixed(spark.createDataFrame(rows, COLUMNS))
+    found = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id", "copy").alias("own")).collect()
+    n = {r["source"]: r["n"] for r in found}
+    assert abs(n["few"] - 20_002) < 6 * math.sqrt(20_002) and abs(n["many"] - 20_002) < 6 * math.sqrt(20_002)
+    assert all(r["n"] == r["own"] for r in found)
+    copies = mixed.where("source = 'few'").groupBy("doc_id", "n_copies").agg(F.count(F.lit(1)).alias("n"), F.max("copy").alias("last")).collect()
+    assert len(copies) == 4 and all(r["n"] == r["n_copies"] == r["last"] + 1 for r in copies)
+    blocks = mixing.mixed(spark.createDataFrame(rows[-1:] + [(i, "m", "en", "many", "n", "n") for i in range(60_000)], COLUMNS)).where("source = 'few'")
+    assert blocks.count() == blocks.select("copy").distinct().count() == blocks.first()["n_copies"] > 2 * mixing.COPIES_A_BLOCK
