@@ -57,6 +57,55 @@ def test_every_rule_can_match_and_holds_an_anchor():
         assert r.keyword in re.sub(r"[()?:|]", " ", r.pattern).replace("[sc]", "s").split() or r.keyword in r.pattern
 
 
+def alternatives(pattern):
+    """Every text that the pattern matches (its groups, alternatives, ? and [..] written out)."""
+
+    def branches(i):
+        out, ends = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                out, ends, i = out + ends, [""], i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                part, i = branches(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                part, i = list(pattern[i + 1 : pattern.index("]", i)].replace("0-9", "7")), pattern.index("]", i) + 1
+            else:
+                part, i = [pattern[i]], i + 1
+            if pattern[i : i + 1] == "?":
+                part, i = ["", *part], i + 1
+            ends = [a + b for a in ends for b in part]
+        return out + ends, i
+
+    return branches(0)[0]
+
+
+def test_each_alternative_alone_is_detected(spark):
+    wanted = []
+    for r in license_rules.rules():
+        texts = alternatives(r.pattern)
+        assert all(re.fullmatch(r.pattern, t) for t in texts)
+        for t in texts:
+            assert r.keyword in t.split(), (r, t)
+            assert any(a in t for a in license_rules.ANCHORS), (r, t)
+        wanted += [(t, r.label, r.confidence) for t in sorted(texts, key=lambda t: (len(t.split()), t))[:: max(1, len(texts) // 12)]]
+    phrases = [("Expat License", "mit"), ("the FreeBSD license", "bsd-2-clause"), ("for non-commercial use only", "non-commercial"), ("Creative Commons Attribution Non-Commercial", "cc-by-nc")]
+    wanted += [(t, label, 0.6) for t, label in phrases]
+    texts = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(wanted)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scanned(texts).collect()}
+    for i, (t, label, confidence) in enumerate(wanted):
+        found = license_scan_labels(t)
+        assert got[i]["score"] >= confidence and set(got[i]["labels"].split(",")) == found, (t, got[i])
+    for i, (_, label) in enumerate(phrases, len(wanted) - len(phrases)):
+        assert got[i]["labels"] == label
+
+
+def license_scan_labels(text):
+    _, base, stays = plain_detections(text)
+    return {d[3] for d in base + stays}
+
+
 def plain_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

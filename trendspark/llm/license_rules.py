@@ -1,8 +1,8 @@
 """The signature rules of the license scan, in order: the first of two equals wins.
 
 A rule is a regular expression over normalised words (lower case, one blank between words,
-punctuation gone: "Version 2.0" is "version 2 0"), a keyword that every match contains (the
-prefilter), a label, a priority and a confidence. Rules are written by hand as license names
+punctuation gone: "Version 2.0" is "version 2 0"), a keyword that every match contains as a word
+(the prefilter; a form without the keyword of the others is a rule of its own), a label, a priority and a confidence. Rules are written by hand as license names
 and the phrasings that name them; ``rules()`` lists a rule for each name and phrasing that
 makes sense, and the notices and sentences that stand for one license alone.
 
@@ -29,7 +29,8 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 #: label, the word that each form contains, the name's forms, the version's forms ("" if the name has none)
 NAMES = (
-    ("mit", "mit", "(?:the )?(?:mit|expat)(?: x11)? licen[sc]e", ""),
+    ("mit", "mit", "(?:the )?mit(?: x11)? licen[sc]e", ""),
+    ("mit", "expat", "(?:the )?expat(?: x11)? licen[sc]e", ""),
     ("apache", "apache", "(?:the )?apache (?:software )?licen[sc]e", ""),
     ("apache-1.0", "apache", "(?:the )?apache (?:software )?licen[sc]e", "1 0"),
     ("apache-1.1", "apache", "(?:the )?apache (?:software )?licen[sc]e", "1 1"),
@@ -48,7 +49,8 @@ NAMES = (
     ("gfdl-1.2", "documentation", "(?:the )?(?:gnu )?free documentation licen[sc]e", "1 2"),
     ("gfdl-1.3", "documentation", "(?:the )?(?:gnu )?free documentation licen[sc]e", "1 3"),
     ("bsd", "bsd", "(?:the )?(?:new |modified |simplified )?bsd licen[sc]e", ""),
-    ("bsd-2-clause", "bsd", "(?:the )?(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?", ""),
+    ("bsd-2-clause", "bsd", "(?:the )?(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)(?: licen[sc]e)?", ""),
+    ("bsd-2-clause", "freebsd", "(?:the )?freebsd(?: licen[sc]e)?", ""),
     ("bsd-3-clause", "bsd", "(?:the )?(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|modified bsd)(?: licen[sc]e)?", ""),
     ("bsd-4-clause", "bsd", "(?:the )?(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[sc]e)?", ""),
     ("isc", "isc", "(?:the )?isc licen[sc]e", ""),
@@ -86,7 +88,8 @@ NAMES = (
     *((f"cc-{k}-{v[0]}.0", "cc", f"(?:the )?cc {k.replace('-', ' ')}", f"{v[0]} 0") for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("3", "4")),
     ("cc-by", "attribution", "(?:the |a )?creative commons attribution", ""),
     ("cc-by-sa", "sharealike", "(?:the |a )?creative commons attribution sharealike", ""),
-    ("cc-by-nc", "noncommercial", "(?:the |a )?creative commons attribution (?:noncommercial|non commercial)", ""),
+    ("cc-by-nc", "noncommercial", "(?:the |a )?creative commons attribution noncommercial", ""),
+    ("cc-by-nc", "commercial", "(?:the |a )?creative commons attribution non commercial", ""),
 )
 
 #: phrasing with {name}, priority, confidence
@@ -114,7 +117,8 @@ NOTICES = (
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright-notice", 1, 0.3),
     ("permission", "(?:not|no part) (?:be )?(?:reproduced|copied) without (?:the )?(?:prior )?(?:written )?permission", "all-rights-reserved", 2, 0.7),
     ("confidential", "confidential and proprietary", "proprietary", 2, 0.7),
-    ("noncommercial", "for (?:noncommercial|non commercial) use only", "non-commercial", 2, 0.7),
+    ("noncommercial", "for noncommercial use only", "non-commercial", 2, 0.7),
+    ("commercial", "for non commercial use only", "non-commercial", 2, 0.7),
     ("personal", "for personal use only", "non-commercial", 2, 0.6),
     ("license", "see the license file", "unknown-license-reference", 1, 0.3),
 )
