@@ -225,3 +225,27 @@ def test_mixing_of_a_source_with_few_documents(spark):
     assert len(copies) == 4 and all(r["n"] == r["n_copies"] == r["last"] + 1 for r in copies)
     blocks = mixing.mixed(spark.createDataFrame(rows[-1:] + [(i, "m", "en", "many", "n", "n") for i in range(60_000)], COLUMNS)).where("source = 'few'")
     assert blocks.count() == blocks.select("copy").distinct().count() == blocks.first()["n_copies"] > 2 * mixing.COPIES_A_BLOCK
+
+
+# --- languages that were never learned
+
+STRANGE = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待" * 3, "xkqz wvjq zzxk qpwv jxqk vbnq xzwk qjjv kxzq " * 5,
+]
+
+
+def test_accepted_rejects_what_was_never_learned(spark):
+    docs = table(spark, SF, "documents")
+    for languages in (["en"], ["de", "en", "fr", "es"]):
+        own = docs.where(F.col("lang").isin(languages))
+        model = language_id.learn(own, keep=id_crc() % 5 != 0)
+        assert math.isfinite(model.limit)
+        clean = own.where(id_crc() % 5 == 0).select("doc_id", "text")
+        short = clean.select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("text")).where("length(text) > 30")
+        # of English alone, two held-out texts quote a language that was not learned at length
+        assert language_id.accepted(clean, model).count() >= (1 if len(languages) > 1 else 0.98) * clean.count()
+        assert language_id.accepted(short, model).count() >= 0.97 * short.count()
+        strange = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id long, text string")
+        assert [r["doc_id"] for r in language_id.accepted(strange, model).collect()] == []
+        assert language_id.predicted(strange, model).count() == len(STRANGE)

@@ -6,6 +6,14 @@ languages, for each pair of its languages. A text goes to the family, and then t
 that wins most of its pairs (ties: the larger sum of margins). The score is the product of the two
 steps' confidences, each the logistic of the smallest margin of the winner.
 
+Whether a text is in a learned language at all is decided apart from the vote, which always has a
+winner: the mean log share of its grams in the closest language's profile (or in the even mix of it and
+another one, as texts quote other languages) must not lie further below that of held-out training rows
+than ``SLACK`` times the furthest of those does, in units of the spread that a text of so many grams has.
+This doesn't depend on the number of languages. ``accepted`` drops what lies further: scripts and
+languages that were never learned, and junk. A few letters, or a language spelled much like a learned one,
+may lie within the limit.
+
 Families are those of ``FAMILIES``; a language that is not listed forms a family with the listed
 ones that its profile is closest to. Training uses at most ``ROWS_A_LANGUAGE`` rows of each
 language (documented bound, chosen by a hash of the id), whole texts and two short passages of
@@ -34,7 +42,8 @@ from trendspark.llm.common import chunks, fresh
 ROWS_A_LANGUAGE, PASSAGE_WORDS, BUCKETS = 400, 12, 4096
 MOST_LANGUAGES = 64
 CHUNK_CHARS = 400_000
-LEAST_SCORE = 0.25
+SMOOTHING, WHOLE_GRAMS, SLACK, LEAST_HELD = 0.02, 1500.0, 1.5, 30
+HELD_OUT = 4  # one row of so many gives the limit and not the profiles; with less than LEAST_HELD texts of them there is no limit
 SLOPE = 10.0
 UNKNOWN = "und"
 
@@ -56,8 +65,8 @@ FAMILIES = {
 }
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of hashed grams (texts x BUCKETS), and whether each text has a letter."""
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of hashed grams (texts x BUCKETS), whether each text has a letter, and its number of grams."""
     lowered = [" " + t.lower() + " " for t in texts]
     size = np.fromiter(map(len, lowered), np.int64, len(texts))
     cps = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -79,7 +88,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.bincount((owner[:m] * BUCKETS + bucket)[inside], minlength=len(texts) * BUCKETS)
         counts += flat.reshape(len(texts), BUCKETS)
     total = counts.sum(axis=1, keepdims=True)
-    return counts / np.maximum(total, 1), has_letter
+    return counts / np.maximum(total, 1), has_letter, total[:, 0]
 
 
 def machine(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 20.0) -> tuple[np.ndarray, float]:
@@ -96,6 +105,36 @@ def machine(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 20.0) ->
     return w, b
 
 
+def spread(n_grams: np.ndarray) -> np.ndarray:
+    """How far the mean over a text's grams strays, but for a factor: less for longer texts, down to a rest."""
+    return np.sqrt(1 / np.maximum(n_grams, 1) + 1 / WHOLE_GRAMS)
+
+
+def profiles_of(x: np.ndarray, n_grams: np.ndarray, of: np.ndarray, held: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed shares (BUCKETS x languages) of the rows that aren't held out, and the mean log share of those that are
+    (a language that has only one of both takes it twice)."""
+    shares, middle = np.zeros((BUCKETS, languages), np.float32), np.zeros(languages, np.float32)
+    for k in range(languages):
+        own = of == k
+        taught, out = ((own & part) if (own & part).any() else own for part in (~held, held))
+        shares[:, k] = (1 - SMOOTHING) * x[taught].mean(axis=0) + SMOOTHING / BUCKETS
+        middle[k] = np.average(x[out] @ np.log(shares[:, k]), weights=n_grams[out])
+    return shares, middle
+
+
+def distances(x: np.ndarray, n_grams: np.ndarray, shares: np.ndarray, middle: np.ndarray, most: float) -> np.ndarray:
+    """How far each text lies from the closest language; beyond ``most``, from the closest mix of that one and another."""
+    apart = middle - x @ np.log(shares)
+    closest, reach = apart.argmin(axis=1), spread(n_grams)
+    out = apart.min(axis=1) / reach
+    for i in np.flatnonzero(out > most):
+        k = closest[i]
+        for j in range(len(middle)):  # one at a time, over the text's own grams: little memory with many languages
+            some = np.flatnonzero(x[i])
+            out[i] = min(out[i], (middle[k] - x[i, some] @ np.log((shares[some, k] + shares[some, j]) / 2)) / reach[i])
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -104,16 +143,20 @@ class Model:
     weights: np.ndarray  # BUCKETS x pairs
     bias: np.ndarray
     scale: np.ndarray
+    shares: np.ndarray  # BUCKETS x languages
+    middle: np.ndarray
+    limit: float
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
-        out: list[tuple[str, float]] = []
+    def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
+        """(language, score, whether the text is within the limit) of each text."""
+        out: list[tuple[str, float, bool]] = []
         for a, b in chunks(texts, CHUNK_CHARS):
             for c in range(a, b, 256):  # a chunk's matrix stays small when its texts are short
                 part = texts[c : min(b, c + 256)]
-                x, has_letter = gram_counts(part)
+                x, has_letter, n_grams = gram_counts(part)
                 margin = (x * self.scale) @ self.weights + self.bias if self.pairs else np.zeros((len(part), 0))
-                out += [self._decide(m) if known and self.languages else (UNKNOWN, 0.0) for m, known in zip(margin, has_letter, strict=True)]
+                near = distances(x, n_grams, self.shares, self.middle, self.limit) <= self.limit if self.languages else has_letter
+                out += [(*self._decide(m), bool(close)) if known and self.languages else (UNKNOWN, 0.0, False) for m, known, close in zip(margin, has_letter, near, strict=True)]
         return out
 
     def _winner(self, step: str, of: list[int], margin: np.ndarray) -> tuple[int, float]:
@@ -142,7 +185,7 @@ def families(languages: list[str], profiles: np.ndarray) -> list[int]:
     return [of(k) if k in known else of(max(known, key=lambda j, k=k: float(unit[j] @ unit[k]))) if known else 0 for k in range(len(languages))]
 
 
-def fitted(x: np.ndarray, names: list[str]) -> Model:
+def fitted(x: np.ndarray, names: list[str], n_grams: np.ndarray, held: np.ndarray) -> Model:
     languages = sorted(set(names))
     of = np.array([languages.index(n) for n in names])
     scale = 1.0 / (x.std(axis=0) + 1e-4) if len(x) else np.ones(BUCKETS)
@@ -158,7 +201,9 @@ def fitted(x: np.ndarray, names: list[str]) -> Model:
         w, b = machine(z[own], np.where(label[own] == p, 1.0, -1.0).astype(np.float32))
         weights.append(w)
         bias.append(b)
-    return Model(languages, family, pairs, np.array(weights, np.float32).reshape(-1, BUCKETS).T, np.array(bias, np.float32), scale)
+    shares, middle = profiles_of(x, n_grams, of, held, len(languages))
+    limit = SLACK * float(distances(x[held], n_grams[held], shares, middle, 0.0).max()) if held.sum() >= LEAST_HELD else np.inf
+    return Model(languages, family, pairs, np.array(weights, np.float32).reshape(-1, BUCKETS).T, np.array(bias, np.float32), scale, shares, middle, limit)
 
 
 def passages(text: str, key: int) -> list[str]:
@@ -190,29 +235,30 @@ def learn(docs: DataFrame, keep: Column | None = None, rows_a_language: int = RO
         for batch in batches:
             ids, langs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))
             for k in range(0, len(texts), 64):
-                rows = [(lang, p) for i, lang, t in zip(ids[k : k + 64], langs[k : k + 64], texts[k : k + 64], strict=True) for p in passages(t, i * 2654435761 % (1 << 31))]
-                x, has_letter = gram_counts([p for _, p in rows])
-                own = [(lang, v.astype(np.float16).tobytes()) for (lang, _), v, known in zip(rows, x, has_letter, strict=True) if known]
-                yield pa.RecordBatch.from_pydict({"lang": [o[0] for o in own], "x": [o[1] for o in own]}, schema=pa.schema([("lang", pa.string()), ("x", pa.binary())]))
+                rows = [(lang, i * 2654435761 % (1 << 31), p) for i, lang, t in zip(ids[k : k + 64], langs[k : k + 64], texts[k : k + 64], strict=True) for p in passages(t, i * 2654435761 % (1 << 31))]
+                x, has_letter, n_grams = gram_counts([p for _, _, p in rows])
+                own = [(lang, v.astype(np.float16).tobytes(), float(n), (key >> 8) % HELD_OUT == 0) for (lang, key, _), v, known, n in zip(rows, x, has_letter, n_grams, strict=True) if known]
+                schema = pa.schema([("lang", pa.string()), ("x", pa.binary()), ("n", pa.float64()), ("held", pa.bool_())])
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*own, strict=True)), strict=True)) if own else {c: [] for c in schema.names}, schema=schema)
 
-    rows = taught.mapInArrow(run, "lang string, x binary").collect()
+    rows = taught.mapInArrow(run, "lang string, x binary, n double, held boolean").collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, BUCKETS)
-    return fitted(x, [r["lang"] for r in rows])
+    return fitted(x, [r["lang"] for r in rows], np.array([r["n"] for r in rows], np.float64), np.array([r["held"] for r in rows], bool))
 
 
-def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str) -> DataFrame:
-    """``docs`` with two more columns, the language and the score."""
-    from pyspark.sql.types import DoubleType, StringType, StructType
+def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str, near_name: str) -> DataFrame:
+    """``docs`` with three more columns: the language, the score and whether the text is within the limit."""
+    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-    schema = StructType([*docs.schema.fields]).add(lang_name, StringType()).add(score_name, DoubleType())
+    schema = StructType([*docs.schema.fields]).add(lang_name, StringType()).add(score_name, DoubleType()).add(near_name, BooleanType())
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = model.predict([t or "" for t in batch.column("text").to_pylist()])
-            columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_name, score_name])
+            columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_name, score_name, near_name])
 
     return docs.mapInArrow(run, schema)
 
@@ -220,10 +266,10 @@ def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_language(rows, model, "lang_pred", "score").drop("text")
+    return with_language(rows, model, "lang_pred", "score", "near").drop("text", "near")
 
 
-def accepted(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` with a language of at least ``least_score``, with their columns."""
-    lang, score = fresh(docs, "lang_pred", "lang_score")
-    return with_language(docs, model, lang, score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).drop(lang, score)
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text is within the limit of a learned language, with their columns."""
+    added = fresh(docs, "lang_pred", "lang_score", "lang_near")
+    return with_language(docs, model, *added).where(F.col(added[2])).drop(*added)
