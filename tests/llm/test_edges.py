@@ -249,3 +249,18 @@ def test_accepted_rejects_what_was_never_learned(spark):
         strange = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id long, text string")
         assert [r["doc_id"] for r in language_id.accepted(strange, model).collect()] == []
         assert language_id.predicted(strange, model).count() == len(STRANGE)
+
+
+def test_more_than_64_languages_are_all_learned(spark):
+    draw = random.Random(11)
+    names = [f"{codes[0]}-{k}" for codes in language_id.FAMILIES.values() for k in range(5)] + ["xx1", "xx2"]
+    rows = []
+    for name in names:
+        words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 8))) for _ in range(15)]
+        rows += [(len(rows) + i, " ".join(draw.choice(words) for _ in range(40)), name, "s", "n", "n") for i in range(12)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    model = language_id.learn(docs, keep=F.col("doc_id") % 3 != 0)
+    assert model.languages == sorted(names) and len(names) == 67 and len(model.pairs) > language_id.DRIVER_PAIRS
+    found = language_id.predicted(docs.where("doc_id % 3 = 0"), model).join(docs, "doc_id").select("lang", "lang_pred").collect()
+    assert {r["lang_pred"] for r in found} == set(names)
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.95 * len(found)

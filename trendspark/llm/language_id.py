@@ -15,10 +15,12 @@ languages that were never learned, and junk. A few letters, or a language spelle
 may lie within the limit.
 
 Families are those of ``FAMILIES``; a language that is not listed forms a family with the listed
-ones that its profile is closest to. Training uses at most ``ROWS_A_LANGUAGE`` rows of each
-language (documented bound, chosen by a hash of the id), whole texts and two short passages of
-each, so that short texts are told apart, too; their counts (a few kB a row) are what the driver
-sees. Prediction is one pass over the scan without a shuffle, in chunks of bounded size.
+ones that its profile is closest to. Every language of the table is learned. Training uses at most
+``ROWS_A_LANGUAGE`` rows of each language and about ``MOST_ROWS`` in all, so fewer of each if there are many
+languages, but ``LEAST_ROWS`` (documented bounds; rows are chosen by a hash of the id), whole texts and two
+short passages of each, so that short texts are told apart, too; their counts (8 kB a text) are what the
+driver sees. More than ``DRIVER_PAIRS`` pairs are trained as Spark tasks over the broadcast counts; a
+pair's weights are 16 kB, so the model grows with the square of a family's languages. Prediction is one pass over the scan without a shuffle, in chunks of bounded size.
 
 Results: null texts and texts without a letter are ``und`` with score 0; texts are read whole; each
 input row gives one row, repeated ids included. Rows without a language teach nothing; if there is
@@ -33,14 +35,14 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendspark.llm import pieces
 from trendspark.llm.common import chunks, fresh
 
 ROWS_A_LANGUAGE, PASSAGE_WORDS, BUCKETS = 400, 12, 4096
-MOST_LANGUAGES = 64
+MOST_ROWS, LEAST_ROWS, DRIVER_PAIRS = 6400, 8, 16
 CHUNK_CHARS = 400_000
 SMOOTHING, WHOLE_GRAMS, SLACK, LEAST_HELD = 0.02, 1500.0, 1.5, 30
 HELD_OUT = 4  # one row of so many gives the limit and not the profiles; with less than LEAST_HELD texts of them there is no limit
@@ -185,22 +187,36 @@ def families(languages: list[str], profiles: np.ndarray) -> list[int]:
     return [of(k) if k in known else of(max(known, key=lambda j, k=k: float(unit[j] @ unit[k]))) if known else 0 for k in range(len(languages))]
 
 
-def fitted(x: np.ndarray, names: list[str], n_grams: np.ndarray, held: np.ndarray) -> Model:
+def trained(spark: SparkSession, x: np.ndarray, scale: np.ndarray, labels: dict[str, np.ndarray], pairs: list[tuple[str, int, int]]) -> list[tuple[np.ndarray, float]]:
+    """A machine for each pair; labels: of each row, by the kind of pair."""
+
+    def one(pair, x, scale, labels):
+        kind, p, q = pair
+        label = labels[kind]
+        own = (label == p) | (label == q)
+        return machine((x[own] * scale).astype(np.float32), np.where(label[own] == p, 1.0, -1.0).astype(np.float32))
+
+    if len(pairs) <= DRIVER_PAIRS:
+        return [one(pair, x, scale, labels) for pair in pairs]
+    context = spark.sparkContext
+    shared = context.broadcast((x.astype(np.float16), scale, labels))  # the counts came as 16-bit numbers
+    try:
+        return context.parallelize(pairs, min(len(pairs), 4 * context.defaultParallelism)).map(lambda pair: one(pair, *shared.value)).collect()
+    finally:
+        shared.destroy()
+
+
+def fitted(spark: SparkSession, x: np.ndarray, names: list[str], n_grams: np.ndarray, held: np.ndarray) -> Model:
     languages = sorted(set(names))
-    of = np.array([languages.index(n) for n in names])
+    place = {name: k for k, name in enumerate(languages)}
+    of = np.array([place[n] for n in names])
     scale = 1.0 / (x.std(axis=0) + 1e-4) if len(x) else np.ones(BUCKETS)
     scale = (scale / np.sqrt(BUCKETS)).astype(np.float32)
-    z = (x * scale).astype(np.float32)
     family = families(languages, np.array([x[of == k].mean(axis=0) for k in range(len(languages))])) if languages else []
     family_of = np.array([family[k] for k in of]) if languages else of
     pairs = [("family", p, q) for p, q in combinations(sorted(set(family)), 2)] + [("language", p, q) for p, q in combinations(range(len(languages)), 2) if family[p] == family[q]]
-    weights, bias = [], []
-    for kind, p, q in pairs:
-        label = family_of if kind == "family" else of
-        own = (label == p) | (label == q)
-        w, b = machine(z[own], np.where(label[own] == p, 1.0, -1.0).astype(np.float32))
-        weights.append(w)
-        bias.append(b)
+    machines = trained(spark, x, scale, {"family": family_of, "language": of}, pairs)
+    weights, bias = [w for w, _ in machines], [b for _, b in machines]
     shares, middle = profiles_of(x, n_grams, of, held, len(languages))
     limit = SLACK * float(distances(x[held], n_grams[held], shares, middle, 0.0).max()) if held.sum() >= LEAST_HELD else np.inf
     return Model(languages, family, pairs, np.array(weights, np.float32).reshape(-1, BUCKETS).T, np.array(bias, np.float32), scale, shares, middle, limit)
@@ -222,12 +238,14 @@ def learn(docs: DataFrame, keep: Column | None = None, rows_a_language: int = RO
     known = docs.select("doc_id", "lang").where("lang is not null and lang <> '' and doc_id is not null")
     if keep is not None:
         known = known.where(keep)
+    n_languages = known.select("lang").distinct().count()
+    rows_a_language = min(rows_a_language, max(LEAST_ROWS, MOST_ROWS // max(1, n_languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_a_language).select("doc_id", "lang")
-    common = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    chosen = chosen.join(F.broadcast(common), "lang").distinct()
-    # at most MOST_LANGUAGES x rows_a_language short rows: this may be broadcast
-    taught = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    chosen = chosen.distinct()
+    if n_languages * rows_a_language <= MOST_ROWS:  # short rows: this may be broadcast
+        chosen = F.broadcast(chosen)
+    taught = docs.select("doc_id", "lang", "text").where("text is not null").join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -243,7 +261,7 @@ def learn(docs: DataFrame, keep: Column | None = None, rows_a_language: int = RO
 
     rows = taught.mapInArrow(run, "lang string, x binary, n double, held boolean").collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, BUCKETS)
-    return fitted(x, [r["lang"] for r in rows], np.array([r["n"] for r in rows], np.float64), np.array([r["held"] for r in rows], bool))
+    return fitted(docs.sparkSession, x, [r["lang"] for r in rows], np.array([r["n"] for r in rows], np.float64), np.array([r["held"] for r in rows], bool))
 
 
 def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str, near_name: str) -> DataFrame:
