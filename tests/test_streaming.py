@@ -49,3 +49,11 @@ def test_restart_from_checkpoint_is_idempotent(spark):
     again = I.run_to_table(spark, I.snapshot_stream(spark, SF_SMALL), "restart", "append", path, ckpt).count()
     batch = A.snapshots(spark, SF_SMALL).count()
     assert first == again == batch
+
+
+def test_stream_sessions_hold_those_still_open(spark):
+    import __spark_entry__ as E
+    streamed, batch = (E.queries()[k](spark, SF_SMALL).select("video_id", "category_id", "region", "session_start", "session_end", "snapshots") for k in ("stream_sessions", "sessions"))
+    last = batch.agg(F.max("session_end")).first()[0]
+    assert streamed.where(F.col("session_end") == F.lit(last)).count() > 0
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0

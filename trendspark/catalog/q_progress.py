@@ -194,24 +194,6 @@ def stream_window_counts(spark, sf):
     return rounded(table, 4)
 
 
-@query("stream_sessions")
-def stream_sessions(spark, sf):
-    """Streaming extension: trending sessions (gap 6 hours) per key, watermark-bounded state.
-
-    Append mode emits a session once the watermark has passed its end; sessions still
-    open when the available input is drained stay in the state store and are emitted
-    by a later run (the batch ``sessions`` query holds the closed-world answer)."""
-    sess = WN.trending_sessions(I.snapshot_stream(spark, sf), KEY, "fetch_time", "6 hours", watermark="1 day")
-    return I.run_to_table(spark, sess, "sessions", output_mode="append")
-
-
-@query("stream_dedup")
-def stream_dedup(spark, sf):
-    """Streaming extension: drop repeated (key, snapshot time) deliveries within the watermark."""
-    d = WN.dedup_snapshots(I.snapshot_stream(spark, sf), KEY, "fetch_time", "1 hour")
-    return I.run_to_table(spark, d, "dedup", output_mode="append")
-
-
 SQL_SESSIONS = with_views("snapshots") + """
 SELECT video_id, category_id, region, min(fetch_time) AS session_start,
        max(fetch_time) + INTERVAL 6 HOUR AS session_end, count(*) AS snapshots
@@ -223,6 +205,24 @@ GROUP BY video_id, category_id, region, sid
 """
 
 
+@query("stream_sessions", SQL_SESSIONS)
+def stream_sessions(spark, sf):
+    """Streaming extension: trending sessions (gap 6 hours) per key, drained with availableNow.
+
+    Complete mode without a watermark: sessions still open when the input is drained are part of the
+    result, and no late row is left out, so it equals the batch ``sessions`` query. The state holds a
+    row for each session, as the result does."""
+    sess = WN.trending_sessions(I.snapshot_stream(spark, sf), KEY, "fetch_time", "6 hours")
+    return I.run_to_table(spark, sess, "sessions", output_mode="complete")
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf):
+    """Streaming extension: drop repeated (key, snapshot time) deliveries within the watermark."""
+    d = WN.dedup_snapshots(I.snapshot_stream(spark, sf), KEY, "fetch_time", "1 hour")
+    return I.run_to_table(spark, d, "dedup", output_mode="append")
+
+
 @query("sessions", SQL_SESSIONS)
 def sessions(spark, sf):
     """Batch trending sessions (gap 6 hours): the same operator as the streaming extension."""
