@@ -119,3 +119,13 @@ def test_vote_leaves_the_members_as_they_are(spark):
     voted = ensemble.vote(rows, members, "classification")
     assert {"score_a", "score_b", "score", "prediction"} <= set(voted.columns) and voted.count() == 40
     assert members["a"].transform(rows).columns == before
+
+
+def test_category_pulls_of_all_categories_are_unioned(spark):
+    import __spark_entry__ as E
+    from trendspark.sources.adapters import videos
+
+    from conftest import SF_SMALL
+    rows = E.queries()["region_union_all_categories"](spark, SF_SMALL)
+    assert rows.count() == 2 * videos(spark, SF_SMALL).count()
+    assert rows.where("pull = 'category'").select("category_id").distinct().count() > 1

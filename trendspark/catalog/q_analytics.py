@@ -207,6 +207,27 @@ def region_union_batches(spark, sf):
         "video_id", "region", "category_id", "views", "pull", "collection_number")
 
 
+# ---------------------------------------------------------------------------------------------
+SQL_REGION_UNION_ALL = with_views("videos") + """
+SELECT video_id, region, NULL::VARCHAR AS category_id, views, 'region' AS pull, 1 AS collection_number
+FROM videos
+UNION ALL
+SELECT video_id, NULL::VARCHAR AS region, category_id, views, 'category' AS pull, 1 AS collection_number
+FROM videos
+"""
+
+
+@query("region_union_all_categories", SQL_REGION_UNION_ALL)
+def region_union_all_categories(spark, sf):
+    """P6 + U1 + D9: region pull and the pulls of all categories unioned by name, duplicates kept."""
+    from trendspark.sources.adapters import videos
+    v = videos(spark, sf)
+    region_pull = P.tag_batch(v.select("video_id", "region", "views"), pull="region", collection_number=1)
+    category_pulls = P.tag_batch(v.select("video_id", "category_id", "views"), pull="category", collection_number=1)
+    return U.union_batches([region_pull, category_pulls]).select(
+        "video_id", "region", "category_id", "views", "pull", "collection_number")
+
+
 # ---------------------------------------------------------------------------------------------
 SQL_HOUR_SHARE = with_views("snapshots") + """
 SELECT CAST(hour(fetch_time) AS INTEGER) AS publish_hour, count(*) AS video_count,
