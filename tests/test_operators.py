@@ -129,3 +129,12 @@ def test_category_pulls_of_all_categories_are_unioned(spark):
     rows = E.queries()["region_union_all_categories"](spark, SF_SMALL)
     assert rows.count() == 2 * videos(spark, SF_SMALL).count()
     assert rows.where("pull = 'category'").select("category_id").distinct().count() > 1
+
+
+def test_channel_mean_of_a_small_table(spark):
+    from trendspark.plans.features import channel_features
+
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "b", 5.0)], "video_id long, channel_id string, engagement_score double")
+    rows = {r["video_id"]: (r["channel_avg_engagement"], r["relative_engagement"]) for r in channel_features(df).collect()}
+    assert rows == {1: (2.0, 0.5), 2: (2.0, 1.5), 3: (5.0, 1.0)}
+    assert channel_features(df, min_rows=100).where("channel_avg_engagement is not null").count() == 0

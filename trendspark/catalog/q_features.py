@@ -268,6 +268,22 @@ FROM (SELECT video_id, channel_id, engagement_score,
 def channel_windows(spark, sf):
     """W1 + J2 + J3 + F8: channel count / mean mapped to rows (groupBy + join, skew-safe)."""
     from trendspark.plans.features import channel_features
+    out = channel_features(ve(spark, sf).select("video_id", "channel_id", "engagement_score"), min_rows=100)
+    return rounded(out, 6, only=["channel_avg_engagement", "relative_engagement"])
+
+
+SQL_CHANNEL_WINDOWS_ANY_SIZE = with_views("ve") + """
+SELECT video_id, channel_id, engagement_score, count(*) OVER w AS channel_video_count,
+       round(avg(engagement_score) OVER w, 6) AS channel_avg_engagement,
+       round(engagement_score / coalesce(avg(engagement_score) OVER w, 1.0), 6) AS relative_engagement
+FROM ve WINDOW w AS (PARTITION BY channel_id)
+"""
+
+
+@query("channel_windows_any_size", SQL_CHANNEL_WINDOWS_ANY_SIZE)
+def channel_windows_any_size(spark, sf):
+    """W1 + J2 + J3 + F8 at every table size: the mean doesn't depend on the number of rows."""
+    from trendspark.plans.features import channel_features
     out = channel_features(ve(spark, sf).select("video_id", "channel_id", "engagement_score"))
     return rounded(out, 6, only=["channel_avg_engagement", "relative_engagement"])
 

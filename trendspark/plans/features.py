@@ -9,14 +9,16 @@ from trendspark.operators.lookups import attach_group_stats
 
 
 def channel_features(df: DataFrame, channel: str = "channel_id", score: str = "engagement_score",
-                     min_rows: int = 100) -> DataFrame:
-    """W1 + J2 + J3 + F8: channel count, channel mean score (only when the batch has more than
-    ``min_rows`` rows) and score / channel mean (missing mean -> 1)."""
-    total = df.select(F.count(F.lit(1))).scalar()
+                     min_rows: int | None = None) -> DataFrame:
+    """W1 + J2 + J3 + F8: channel count, channel mean score (with ``min_rows`` only when the batch
+    has more rows than that, as the original) and score / channel mean (missing mean -> 1)."""
     out = attach_group_stats(df, [channel], {
         "channel_video_count": F.count(F.lit(1)),
         "_channel_avg": F.avg(score),
     })
-    out = out.withColumn("channel_avg_engagement", F.when(total > min_rows, F.col("_channel_avg"))).drop("_channel_avg")
+    mean = F.col("_channel_avg")
+    if min_rows is not None:
+        mean = F.when(df.select(F.count(F.lit(1))).scalar() > min_rows, mean)
+    out = out.withColumn("channel_avg_engagement", mean).drop("_channel_avg")
     return out.withColumn("relative_engagement",
                           F.col(score) / F.coalesce(F.col("channel_avg_engagement"), F.lit(1.0)))
