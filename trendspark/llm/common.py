@@ -61,3 +61,20 @@ def chunks(texts: list[str], most_chars: int):
         size += len(t) + 1
     if a < len(texts):
         yield a, len(texts)
+
+
+def byte_texts(column, most_bytes: int):
+    """(index of the first, UTF-8 bytes of each) of consecutive texts of an Arrow string column, with
+    about ``most_bytes`` in each piece, so that never all texts of a batch are Python objects at once.
+    Null texts are empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, "right")))
+        piece = column.slice(a, b - a)
+        yield a, pc.fill_null(piece, "").cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+        a = b

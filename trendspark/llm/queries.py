@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm import bpe_codec, cover_tree, language_id, license_scan, mixing, ngram_join, quality_rules, token_counts, token_frames, toxicity
+from trendspark.llm import bpe_codec, cover_tree, fill_middle, language_id, license_scan, mixing, ngram_join, quality_rules, simhash, spelling, token_counts, token_frames, toxicity
 from trendspark.llm.common import id_crc, table
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -73,6 +73,18 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(_documents(spark, sf_dir))
 
 
+def op11_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_documents(spark, sf_dir))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_cover_tree_search, op2_license_scan, op3_quality_rules, op4_ngram_jaccard_join, op5_token_counts, op6_token_frames, op7_toxicity, op8_language_id, op9_source_mixing, op10_bpe_codec, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_cover_tree_search, op2_license_scan, op3_quality_rules, op4_ngram_jaccard_join, op5_token_counts, op6_token_frames, op7_toxicity, op8_language_id, op9_source_mixing, op10_bpe_codec, op11_simhash_vantage, op12_fill_middle, op13_spelling_variants, pipeline)}
 
 ORACLE = {
     "op1_cover_tree_search": """
@@ -131,4 +143,24 @@ ORACLE = {
         SELECT doc_id, text, lang, source, n_chars, n_copies, CAST(k AS INTEGER) AS copy,
                CAST('0x' || substr(md5('17 place:' || key || ':' || CAST(k AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS place
         FROM x""",
+    "op12_fill_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                   sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents),
+        c AS (
+            SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM d),
+        p AS (
+            SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+                   array_to_string(u[greatest(a, b) + 1:], '') AS suffix
+            FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }
