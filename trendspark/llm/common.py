@@ -18,7 +18,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_crc(column: str = "doc_id") -> Column:
@@ -63,6 +73,43 @@ def chunks(texts: list[str], most_chars: int):
         yield a, len(texts)
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` and the given columns, each computed once a row: as a generator of one row. Spark merges
+    neither a later projection nor a later filter into it, which would copy the expression to each
+    place that refers to it, also into the bodies of lambdas."""
+    (name,) = fresh(df, "bound")
+    made = F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(name)
+    return df.select("*", made).select(*(F.col(c) for c in df.columns), f"{name}.*")
+
+
+def release() -> None:
+    """Give back to the system what this process no longer uses: Python workers live on between tasks,
+    and what one keeps counts against its executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+_held: list = [None, None]
+
+
+def held(name: str, make=lambda: None):
+    """What ``make`` gave for ``name`` in this worker process; that of another operator is dropped first,
+    so a worker that serves several operators one after the other holds the tables of one."""
+    if _held[0] != name:
+        _held[:] = None, None
+        release()
+        _held[:] = name, make()
+    return _held[1]
+
+
 def byte_texts(column, most_bytes: int):
     """(index of the first, UTF-8 bytes of each) of consecutive texts of an Arrow string column, with
     about ``most_bytes`` in each piece, so that never all texts of a batch are Python objects at once.

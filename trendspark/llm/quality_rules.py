@@ -17,7 +17,11 @@ Results: null text counts as empty; texts are taken whole; each input row gives
 ids and null ids included. Ids with several different labels, or none, teach nothing. Without
 labels (or without one of the two classes) there are no rules, and only the fixed base decides.
 Statistics of a text without words are 0. Empty tables give an empty table. Extra columns are
-not read. Repeated windows are told apart by their words, not by a hash.
+not read. Repeated windows are told apart by their words, not by a hash. A list has at most
+``MOST_RULES`` rules of at most ``MOST_CONDITIONS`` thresholds each.
+
+Words and counts are bound once a row (``common.bound``), so a filter on the result, such as
+``where("kept")``, costs no second reading of the text.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import labelled_sample, written
+from trendspark.llm.common import bound, labelled_sample, written
 
 SAMPLE_ROWS = 10_000
 THRESHOLDS, MOST_RULES, MOST_CONDITIONS = 24, 12, 4
@@ -70,31 +74,27 @@ def repeated_words(windows: Column) -> Column:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, the counts of the base, and the columns of ``FEATURES``) for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = rows.select("*", F.trim(F.regexp_replace("text", BLANK + "+", " ")).alias("norm"))
+    plain = bound(rows, norm=F.trim(F.regexp_replace("text", BLANK + "+", " ")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\f\r")) != "")
-    cut = plain.select(
-        "doc_id",
-        F.length(F.replace("norm", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
-        _count(F.col("text"), SYMBOLS).alias("n_symbols"),
-        _count(F.col("norm"), "[A-Z]+").alias("n_capitals"),
-        _count(F.col("norm"), "!+").alias("n_shouts"),
-        lines.alias("lines"),
-        F.when(F.col("norm") == "", F.array().cast("array<string>")).otherwise(F.split("norm", " ")).alias("words_"),
-    )
+    words = F.when(F.col("norm") == "", F.array().cast("array<string>")).otherwise(F.split("norm", " "))
+    cut = bound(plain, lines=lines, words_=words)
     word = lambda i: F.get("words_", i)
     each = F.slice("words_", F.lit(1), F.greatest(F.size("words_") - 4, F.lit(0)))  # the first word of each window
-    hashes = F.transform(each, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2), word(i + 3), word(i + 4)))
-    hashed = cut.select("*", F.size(hashes).alias("n_windows"), F.size(F.array_distinct(hashes)).alias("n_different"))
+    hashed = bound(cut, hashes=F.transform(each, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2), word(i + 3), word(i + 4))))
     # equal windows have equal hashes: only where two hashes agree are the windows compared themselves
     exact = F.transform(each, lambda w, i: F.concat_ws(" ", w, word(i + 1), word(i + 2), word(i + 3), word(i + 4)))
-    counted = hashed.select(
-        "doc_id",
-        F.size("words_").cast("long").alias("n_words"),
-        "word_chars", "n_symbols", "n_capitals", "n_shouts",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("n_different") < F.col("n_windows"), repeated_words(exact)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-    )
+    repeated = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    counted = bound(
+        hashed,
+        n_words=F.size("words_").cast("long"),
+        word_chars=F.length(F.replace("norm", F.lit(" "), F.lit(""))).cast("long"),
+        n_symbols=_count(F.col("text"), SYMBOLS),
+        n_capitals=_count(F.col("norm"), "[A-Z]+"),
+        n_shouts=_count(F.col("norm"), "!+"),
+        n_lines=F.size("lines").cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_repeat_words=F.when(repeated, repeated_words(exact)).otherwise(F.lit(0).cast("long")),
+    ).select("doc_id", "n_words", "word_chars", "n_symbols", "n_capitals", "n_shouts", "n_lines", "n_dup_lines", "n_repeat_words")
     a = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(F.lit(0.0))
     return counted.select(
         "*",
