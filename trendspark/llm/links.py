@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import written
+from trendspark.llm.common import discard, written
 
 FAN = 16
 MOST_NODES = 200_000
@@ -70,13 +70,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of its component for each node of ``edges`` (a, b); no nulls."""
     thin = written(thinned(edges), "links")
     both = thin.union(thin.select("b", "a")).where("a <> b")
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    last = now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
         seen = both.join(now.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("least"))
         lower = now.join(seen, "node").select("node", "label", F.least("label", "least").alias("next"))
         jump = now.select(F.col("node").alias("next"), F.col("label").alias("far"))
         lowest = F.coalesce(F.least("next", "far"), "next")
         new = written(lower.join(jump, "next", "left").select("node", lowest.alias("label"), (F.col("label") != lowest).alias("moved")), "labels")
-        now = new.select("node", "label")
+        discard(last)
+        last, now = new, new.select("node", "label")
         if new.where("moved").isEmpty():
+            discard(thin)
             return now

@@ -16,11 +16,14 @@ order of all n-grams, two such sets share one among the first |x| - ceil(3/4 |x|
    components. Then only pairs of nodes in different components are compared, in the last round
    all of them. So a group of m near copies costs about m comparisons and not m squared, and no
    link that joins two components is lost.
-4. *Components* by least label with pointer jumping, each round written to the shared folder.
+   Before whole sets travel, pairs are held against signatures, the numbers of hashes in equal
+   ranges: two sets share at most the sum of the smaller numbers, so most pairs end there.
+4. *Components* of the links (``links``): joined within tasks first, so no node has many.
 
-Scale: nothing but the sketch (fixed size) and a bitmap of fixed size reaches the driver; lists
-are sorted streams that hold one row at a time, or windows and joins that spill. No candidate,
-bucket or group is capped.
+Scale: nothing but the sketch (fixed size) reaches the driver, and nothing but bitmaps of at most
+MOST_BITS bits is broadcast; lists are sorted streams that hold one row at a time, or joins and
+windows of one group that spill. Tables are removed from the shared folder when the next one stands.
+No candidate, bucket or group is capped.
 
 Results: words are runs of characters other than blank and \\t-\\r, after lowering A-Z. A text of
 fewer than n words is one n-gram; null or wordless texts have size 0 and link with nothing, so
@@ -39,33 +42,67 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import chunks, fresh, written
+from trendspark.llm.common import byte_texts, discard, fresh, held, release, written
+from trendspark.llm.links import components
 
 N, NUMERATOR, DENOMINATOR = 5, 3, 4
-CHUNK_CHARS = 1_500_000
+CHUNK_BYTES, WINDOW = 1 << 20, 1 << 20
 COUNTERS, BLOCK = 1 << 20, 1 << 13
-BITMAP_BITS = 1 << 23
+BITS_A_KEY, MOST_BITS = 32, 1 << 28
+LEAST_RANGES, MOST_RANGES = 4, 20
 HUB_ROUNDS = 1
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class WordHash(dict):
-    """64-bit hash of each word that comes up; emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def ngram_sets(texts: list[str], known: WordHash, n: int = N) -> list[np.ndarray]:
+#: A 64-bit number for each byte at each place in a word (places repeat after PLACES, with another factor).
+PLACES = 64
+BYTE_AT = np.random.default_rng(20_417).integers(0, 1 << 64, PLACES * 256, np.uint64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of ``data`` (bytes), A-Z as a-z: the sum of its bytes' numbers.
+    Reads WINDOW bytes at a time, so that a long text needs no more memory than its words' hashes."""
+    hashes, starts, opened, within = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, False
+    for a in range(0, len(data), WINDOW):
+        part = LOWER[data[a : a + WINDOW]]
+        word = IN_WORD[part]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        goes_on = bool(within and word[0])  # a word that the last window began
+        begins[0] &= not goes_on
+        at, within = np.flatnonzero(word), bool(word[-1])
+        if not len(at):
+            continue
+        new = np.flatnonzero(begins) + a
+        start = np.append(opened, new) if goes_on else new
+        which = np.cumsum(begins[at]) - (not goes_on)
+        place = at + a - start[which]
+        value = BYTE_AT[(place % PLACES << 8) | part[at]]
+        if int(place.max()) >= PLACES:
+            value *= (2 * (place // PLACES) + 1).astype(np.uint64)
+        sums = np.add.reduceat(value, np.flatnonzero(np.diff(which, prepend=-1)))
+        if goes_on:
+            hashes[-1][-1:] += sums[:1]
+            sums = sums[1:]
+        if len(sums):
+            hashes.append(sums)
+            starts.append(new)
+        opened = start[-1]
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def ngram_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    size = [len(w) for w in words]
-    flat = np.fromiter((known[w] for ws in words for w in ws), np.uint64, sum(size))
+    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    flat, start = word_hashes(joined)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    size = np.diff(np.searchsorted(start, ends), prepend=0).tolist()
+    flat ^= flat >> np.uint64(32)
+    flat *= FACTORS[4]
+    flat ^= flat >> np.uint64(29)
     factors = np.resize(FACTORS, n) + (np.arange(n, dtype=np.uint64) // np.uint64(len(FACTORS))) * np.uint64(2)
     total = np.zeros(max(0, len(flat) - n + 1), np.uint64)
     for i in range(n):
@@ -86,6 +123,22 @@ def ngram_sets(texts: list[str], known: WordHash, n: int = N) -> list[np.ndarray
     return out
 
 
+class Marks:
+    """The digests that lately came up, in a table of fixed size: one for each slot."""
+
+    def __init__(self, bits: int = 17):
+        self.slots = np.zeros((1 << bits, 2), np.uint64)
+
+    def new(self, digest: bytes) -> bool:
+        """Whether the digest (16 bytes) isn't in the table, where it is from now on."""
+        low, high = np.frombuffer(digest, np.uint64)
+        slot = self.slots[int(low) % len(self.slots)]
+        if slot[0] == low and slot[1] == high:
+            return False
+        slot[0], slot[1] = low, high
+        return True
+
+
 def prefix_length(n: int) -> int:
     return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
@@ -104,12 +157,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _each(batches, columns: list[str], n: int):
     """(values of ``columns``, set) of each text."""
-    known = WordHash()
+    held("word n-grams")
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        own = [batch.column(c).to_pylist() for c in columns]
-        for a, b in chunks(texts, CHUNK_CHARS):
-            yield [c[a:b] for c in own], ngram_sets(texts[a:b], known, n)
+        own = [batch.column(c) for c in columns]
+        for a, texts in byte_texts(batch.column("text"), CHUNK_BYTES):
+            yield [c.slice(a, len(texts)).to_pylist() for c in own], ngram_sets(texts, n)
+    release()
 
 
 def _sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
@@ -164,26 +217,23 @@ def _postings(docs: DataFrame, level: np.ndarray, n: int) -> DataFrame:
         import xxhash
 
         level = shared.value
-        seen: set = set()
+        nodes_seen, groups_seen = Marks(), Marks()
         for _, sets in _each(batches, [], n):
             tokens, groups, sizes, members = [], [], [], []
             for s in sets:
                 if not len(s):
                     continue
                 node = xxhash.xxh3_128_digest(s.tobytes())
-                if node in seen:
+                if not nodes_seen.new(node):
                     continue
                 p = prefix_length(len(s))
                 place = (level[s >> np.uint64(44)].astype(np.int64) << 56) | (s >> np.uint64(8)).astype(np.int64)
                 chosen = np.argsort(place, kind="stable")[:p]
                 first = s[chosen]
-                group = xxhash.xxh3_64_intdigest(first.tobytes() + len(s).to_bytes(8, "little")) - (1 << 63)
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(node)
+                digest = xxhash.xxh3_128_digest(first.tobytes() + len(s).to_bytes(8, "little"))
+                group = int.from_bytes(digest[:8], "little", signed=True)
                 members.append((group, node, -len(s), int(place[chosen[-1]])))
-                if group not in seen:
-                    seen.add(group)
+                if groups_seen.new(digest):
                     tokens.append(first)
                     groups.append(np.full(p, group, np.int64))
                     sizes.append(np.full(p, len(s), np.int32))
@@ -250,52 +300,96 @@ def _fitting(sorted_postings: DataFrame) -> DataFrame:
     return sorted_postings.mapInArrow(run, "token long, grp long, node binary, size int, end long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component of ``edges`` (a, b)."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
-    while True:
-        seen = both.join(now.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("least"))
-        lower = now.join(seen, "node").select("node", "label", F.least("label", "least").alias("next"))
-        jump = now.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = written(lower.join(jump, "next", "left").select("node", F.coalesce(F.least("next", "far"), "next").alias("label"), (F.col("label") != F.coalesce(F.least("next", "far"), "next")).alias("moved")), "labels")
-        now = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return now
+def marked(keys: DataFrame, most_bits: int = MOST_BITS):
+    """A filter for rows whose ``key`` (long) may be among ``keys`` (key): a bitmap of BITS_A_KEY bits
+    for each key, but ``most_bits`` at most, is broadcast in rows of 64 bits. The second value tells
+    whether the bitmap has its full size."""
+    n = keys.count()
+    bits = 64
+    while bits < min(BITS_A_KEY * n, most_bits):
+        bits *= 2
+    word = F.shiftrightunsigned(F.pmod(F.col("key"), F.lit(bits)), 6).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(key, {bits}L) & 63 as int))")
+    bitmap = keys.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    return lambda df: df.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits"), bits >= BITS_A_KEY * n
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of about half as many equal ranges."""
+    buckets = 1 << min(MOST_RANGES, max(LEAST_RANGES, (len(s) - 1).bit_length() - 1))
+    return np.bincount((s >> np.uint64(65 - buckets.bit_length())).astype(np.int64), minlength=buckets).astype(np.uint16 if len(s) < 1 << 16 else np.uint32)
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """What two sets can share at most, by their signatures: never less than what they do."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.minimum(x.reshape(len(y), -1).sum(axis=1), y).sum())
 
 
 def _whole_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, tokens) for each of ``nodes``, from the text of one row of each."""
-    first = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    wanted = written(first.select("node", F.col("row.doc_id").alias("its_id"), F.col("row.text_key").alias("text_key")), "wanted-texts")
-    # texts that can't be wanted stay where they are: a bitmap of BITMAP_BITS bits, in rows of 64
-    word = F.shiftrightunsigned(F.pmod(F.col("text_key"), F.lit(BITMAP_BITS)), 6).alias("word")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(text_key, {BITMAP_BITS}L) & 63 as int))")
-    bitmap = wanted.groupBy(word).agg(F.bit_or(bit).alias("bits"))
-    maybe = _texts(docs).withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    texts = maybe.join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("its_id"))).select("node", "text")
+    """(node, size, tokens, ranges) for each of ``nodes``, from the text of one row of each; other
+    nodes and, where rows are repeated, equal lines may be among them."""
+    first = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    key = F.xxhash64("doc_id", "text_key").alias("key")
+    wanted = written(first.select("row.*").select("doc_id", "text_key", key).distinct(), "wanted-texts")
+    may_be, full = marked(wanted.select("key"))
+    texts = may_be(_texts(docs).withColumn("key", key))
+    if not full:  # too many for the bitmap to tell
+        texts = texts.join(wanted.select("key"), "key", "left_semi")
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
-        for (nodes,), sets in _each(batches, ["node"], n):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "tokens"])
+        for _, sets in _each(batches, [], n):
+            sets = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+                ],
+                names=["node", "size", "tokens", "ranges"],
+            )
+
+    sets = written(texts.select("text").mapInArrow(run, "node binary, size int, tokens array<long>, ranges binary"), "whole-sets")
+    discard(wanted)
+    return sets
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose signatures allow a link: these travel instead of whole sets."""
+    one = sets.groupBy("node").agg(F.first(F.struct("size", "ranges")).alias("of"))
+    x, y = (one.select(F.col("node").alias(k), F.col("of").alias(f"of_{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.col("of_a.size").alias("m"), F.col("of_a.ranges").alias("x"), F.col("of_b.size").alias("n"), F.col("of_b.ranges").alias("y"))
 
-    return written(texts.mapInArrow(run, "node binary, tokens array<long>").dropDuplicates(["node"]), "whole-sets")
+    def run(batches):
+        import pyarrow as pa
 
+        kind = lambda n: np.uint16 if n < 1 << 16 else np.uint32
+        for batch in batches:
+            m, x, n, y = (batch.column(c).to_pylist() for c in ("m", "x", "n", "y"))
+            keep = [(NUMERATOR + DENOMINATOR) * most_shared(np.frombuffer(p, kind(i)), np.frombuffer(q, kind(j))) >= NUMERATOR * (i + j) for i, p, j, q in zip(m, x, n, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) for each of ``pairs``, by their whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    return both.select("a", "b", (shared * DENOMINATOR >= union * NUMERATOR).alias("linked"))
+    return written(both.mapInArrow(run, "a binary, b binary"), "plausible-pairs")
 
 
-def _fits(a: str, b: str):
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that link, by their whole sets."""
+    plausible = _plausible(pairs, sets)
+    key = F.xxhash64("node").alias("key")
+    nodes = plausible.select(F.col("a").alias("node")).union(plausible.select("b")).distinct()
+    may_be, _ = marked(nodes.select(key))
+    own = may_be(sets.select("node", "tokens", key)).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    x, y = own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), own.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - shared
+    found = written(plausible.join(x, "a").join(y, "b").where(shared * DENOMINATOR >= union * NUMERATOR).select("a", "b"), "linked-pairs")
+    discard(plausible)
+    return found
 
 
 def linked_rows(docs: DataFrame, n: int = N) -> DataFrame:
@@ -321,29 +415,29 @@ def linked_rows(docs: DataFrame, n: int = N) -> DataFrame:
     many = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
     within = members.join(many, "grp").select(F.col("grp").alias("token"), "node", "size", "end", F.col("size").cast("long").alias("most"), F.lit(100).cast("long").alias("central"), F.lit(None).cast("long").alias("before"))
     lists = written(_with_a_partner(of_groups.union(within)), "node-lists")
+    discard(kept)
     full = rows.where("node is not null")
 
     spark = docs.sparkSession
     edges = spark.createDataFrame([], "a binary, b binary")
-    tried = edges
-    labels = spark.createDataFrame([], "node binary, label binary")
+    labels = tried = None
     for salt in (*range(HUB_ROUNDS), None):
-        named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("token").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("token")
-        left = named.join(mixed, "token")
-        pairs = _crossing(left) if salt is None else _with_hub(left, salt)
-        new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        named = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = (_crossing(named) if salt is None else _with_hub(named, salt)).distinct()
+        new = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
         nodes = new.select(F.col("a").alias("node")).union(new.select("b")).distinct()
-        result = written(_verified(new, _whole_sets(docs, full, nodes, n)), "verified")
-        tried = tried.union(result.select("a", "b"))
-        found = result.where("linked").select("a", "b")
+        sets = _whole_sets(docs, full, nodes, n)
+        found = _linked(new, sets)
+        discard(sets)
+        tried = new if tried is None else tried.union(new)
         if found.isEmpty():
             continue
         edges = edges.union(found)
         labels = components(edges)
-    return _named(rows, labels)
+    discard(lists)
+    return _named(rows, labels if labels is not None else spark.createDataFrame([], "node binary, label binary"))
 
 
 def _may_link(x: str, y: str):
@@ -372,15 +466,20 @@ def _with_hub(lists: DataFrame, salt: int) -> DataFrame:
     size_class = F.floor(F.log(F.col("size")) / F.lit(ratio))
     key = F.struct(-F.col("central"), F.xxhash64("node")) if salt == 0 else F.xxhash64("node", "token", F.lit(salt))
     own = F.struct("node", "size", "label", "end", "most")
-    hub = F.min(F.struct(key, own.alias("x"))).over(Window.partitionBy("token", size_class))["x"]
-    paired = lists.select(own.alias("x"), hub.alias("y")).where("x.node <> y.node and x.label <> y.label").where(_may_link("x", "y"))
+    placed = lists.withColumn("class", size_class)
+    of_class = placed.groupBy("token", "class").agg(F.min(F.struct(key, own.alias("x")))["x"].alias("hub"), F.min("label").alias("p"), F.max("label").alias("q"))
+    hubs = of_class.groupBy("token").agg(F.min("p").alias("p"), F.max("q").alias("q"), F.collect_list(F.struct("class", "hub")).alias("hubs")).where("p <> q")  # a few classes
+    hub = F.filter("hubs", lambda h: h["class"] == F.col("class"))[0]["hub"].alias("y")
+    paired = placed.join(hubs.select("token", "hubs"), "token").select(own.alias("x"), hub).where("x.node <> y.node and x.label <> y.label").where(_may_link("x", "y"))
     return paired.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _crossing(lists: DataFrame) -> DataFrame:
     """All pairs of nodes of one token, in different components, that may link, and for which it
     may be the first shared one: where both have the same n-gram before it, an earlier list has the pair."""
-    x, y = lists.alias("x"), lists.alias("y")
+    mixed = lists.groupBy("token").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("token")
+    left = lists.join(mixed, "token")
+    x, y = left.alias("x"), left.alias("y")
     both = x.join(y, F.expr("x.token = y.token and x.node < y.node and x.label <> y.label and not coalesce(x.before = y.before, false)") & _may_link("x", "y"))
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
