@@ -18,8 +18,10 @@ Families are those of ``FAMILIES``; a language that is not listed forms a family
 ones that its profile is closest to. Every language of the table is learned. Training uses at most
 ``ROWS_A_LANGUAGE`` rows of each language and about ``MOST_ROWS`` in all, so fewer of each if there are many
 languages, but ``LEAST_ROWS`` (documented bounds; rows are chosen by a hash of the id), whole texts and two
-short passages of each, so that short texts are told apart, too; their counts (8 kB a text) are what the
-driver sees. More than ``DRIVER_PAIRS`` pairs are trained as Spark tasks over the broadcast counts; a
+short passages of each, so that short texts are told apart, too; their counts, as (gram, share) of the
+grams that occur, are what the driver sees. The sample is a range of hashes whose width follows from the
+number of ids of each language, and an id that stands in several rows gives one text, so repeated rows
+change nothing and no task sees a whole language. More than ``DRIVER_PAIRS`` pairs are trained as Spark tasks over the broadcast counts; a
 pair's weights are 16 kB, so the model grows with the square of a family's languages. Prediction is one pass over the scan without a shuffle, in chunks of bounded size.
 
 Results: null texts and texts without a letter are ``und`` with score 0; texts are read whole; each
@@ -35,17 +37,17 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspark.llm import pieces
-from trendspark.llm.common import chunks, fresh
+from trendspark.llm.common import byte_texts, chunks, fresh, held, release, written
 
 ROWS_A_LANGUAGE, PASSAGE_WORDS, BUCKETS = 400, 12, 4096
 MOST_ROWS, LEAST_ROWS, DRIVER_PAIRS = 6400, 8, 16
 CHUNK_CHARS = 400_000
-SMOOTHING, WHOLE_GRAMS, SLACK, LEAST_HELD = 0.02, 1500.0, 1.5, 30
-HELD_OUT = 4  # one row of so many gives the limit and not the profiles; with less than LEAST_HELD texts of them there is no limit
+SMOOTHING, WHOLE_GRAMS, SLACK, LEAST_LIMIT = 0.02, 1500.0, 1.5, 12.0
+HELD_OUT = 4  # one row of so many gives the limit and not the profiles
 SLOPE = 10.0
 UNKNOWN = "und"
 
@@ -93,6 +95,40 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return counts / np.maximum(total, 1), has_letter, total[:, 0]
 
 
+@dataclass
+class Shares:
+    """Rows of shares of grams, of which only those that occur are kept."""
+
+    end: np.ndarray  # of each row, in ``gram`` and ``share``
+    gram: np.ndarray
+    share: np.ndarray
+
+    @staticmethod
+    def of(grams: list[bytes], shares: list[bytes]) -> Shares:
+        end = np.cumsum(np.fromiter(map(len, grams), np.int64, len(grams)) // 2)
+        return Shares(end, np.frombuffer(b"".join(grams), np.uint16), np.frombuffer(b"".join(shares), np.float16))
+
+    def __len__(self) -> int:
+        return len(self.end)
+
+    def rows(self, chosen: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+        """The chosen rows in full, each column times its scale."""
+        at = np.flatnonzero(chosen)
+        size = np.diff(self.end, prepend=0)[at]
+        take = np.arange(int(size.sum())) + np.repeat(self.end[at] - np.cumsum(size), size)
+        out = np.zeros((len(at), BUCKETS), np.float32)
+        gram, share = self.gram[take], self.share[take].astype(np.float32)
+        out[np.repeat(np.arange(len(at)), size), gram] = share if scale is None else share * scale[gram]
+        return out
+
+    def means(self, of: np.ndarray, n: int, power: int = 1) -> np.ndarray:
+        """Mean of the shares (to a power) of the rows of each of n classes; rows of class -1 count nowhere."""
+        each = np.repeat(of, np.diff(self.end, prepend=0))
+        some = each >= 0
+        sums = np.bincount(each[some] * BUCKETS + self.gram[some], self.share[some].astype(np.float64) ** power, n * BUCKETS)
+        return sums.reshape(n, BUCKETS) / np.maximum(np.bincount(of[of >= 0], minlength=n), 1)[:, None]
+
+
 def machine(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 20.0) -> tuple[np.ndarray, float]:
     """A linear support vector machine (squared hinge) by accelerated gradient descent; y: 1 or -1."""
     w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
@@ -112,16 +148,22 @@ def spread(n_grams: np.ndarray) -> np.ndarray:
     return np.sqrt(1 / np.maximum(n_grams, 1) + 1 / WHOLE_GRAMS)
 
 
-def profiles_of(x: np.ndarray, n_grams: np.ndarray, of: np.ndarray, held: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+def profiles_of(x: Shares, n_grams: np.ndarray, of: np.ndarray, held: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed shares (BUCKETS x languages) of the rows that aren't held out, and the mean log share of those that are
     (a language that has only one of both takes it twice)."""
-    shares, middle = np.zeros((BUCKETS, languages), np.float32), np.zeros(languages, np.float32)
+    parts = []
+    for part in (~held, held):
+        has = np.isin(np.arange(languages), of[part])
+        parts.append(part | ~has[of])
+    shares = (1 - SMOOTHING) * x.means(np.where(parts[0], of, -1), languages).T + SMOOTHING / BUCKETS
+    logs, middle = np.log(shares), np.zeros(languages)
+    size = np.diff(x.end, prepend=0)
+    row = np.repeat(np.arange(len(x)), size)
+    own = np.bincount(row, x.share.astype(np.float64) * logs[x.gram, of[row]], len(x))
     for k in range(languages):
-        own = of == k
-        taught, out = ((own & part) if (own & part).any() else own for part in (~held, held))
-        shares[:, k] = (1 - SMOOTHING) * x[taught].mean(axis=0) + SMOOTHING / BUCKETS
-        middle[k] = np.average(x[out] @ np.log(shares[:, k]), weights=n_grams[out])
-    return shares, middle
+        out = parts[1] & (of == k)
+        middle[k] = np.average(own[out], weights=n_grams[out])
+    return shares.astype(np.float32), middle.astype(np.float32)
 
 
 def distances(x: np.ndarray, n_grams: np.ndarray, shares: np.ndarray, middle: np.ndarray, most: float) -> np.ndarray:
@@ -187,38 +229,53 @@ def families(languages: list[str], profiles: np.ndarray) -> list[int]:
     return [of(k) if k in known else of(max(known, key=lambda j, k=k: float(unit[j] @ unit[k]))) if known else 0 for k in range(len(languages))]
 
 
-def trained(spark: SparkSession, x: np.ndarray, scale: np.ndarray, labels: dict[str, np.ndarray], pairs: list[tuple[str, int, int]]) -> list[tuple[np.ndarray, float]]:
+def trained(spark: SparkSession, x: Shares, scale: np.ndarray, labels: dict[str, np.ndarray], pairs: list[tuple[str, int, int]]) -> list[tuple[np.ndarray, float]]:
     """A machine for each pair; labels: of each row, by the kind of pair."""
 
     def one(pair, x, scale, labels):
         kind, p, q = pair
         label = labels[kind]
         own = (label == p) | (label == q)
-        return machine((x[own] * scale).astype(np.float32), np.where(label[own] == p, 1.0, -1.0).astype(np.float32))
+        return machine(x.rows(own, scale), np.where(label[own] == p, 1.0, -1.0).astype(np.float32))
 
     if len(pairs) <= DRIVER_PAIRS:
         return [one(pair, x, scale, labels) for pair in pairs]
     context = spark.sparkContext
-    shared = context.broadcast((x.astype(np.float16), scale, labels))  # the counts came as 16-bit numbers
+    shared = context.broadcast((x, scale, labels))
     try:
         return context.parallelize(pairs, min(len(pairs), 4 * context.defaultParallelism)).map(lambda pair: one(pair, *shared.value)).collect()
     finally:
         shared.destroy()
 
 
-def fitted(spark: SparkSession, x: np.ndarray, names: list[str], n_grams: np.ndarray, held: np.ndarray) -> Model:
+def limit_of(x: Shares, n_grams: np.ndarray, held: np.ndarray, shares: np.ndarray, middle: np.ndarray) -> float:
+    """SLACK times the furthest that a held-out row lies from the learned languages, or LEAST_LIMIT
+    if that is more: few rows say little of how far a text may lie."""
+    furthest = 0.0
+    at = np.flatnonzero(held)
+    for k in range(0, len(at), 512):
+        part = np.zeros(len(held), bool)
+        part[at[k : k + 512]] = True
+        furthest = max(furthest, float(distances(x.rows(part), n_grams[part], shares, middle, 0.0).max()))
+    return max(LEAST_LIMIT, SLACK * furthest)
+
+
+def fitted(spark: SparkSession, x: Shares, names: list[str], n_grams: np.ndarray, held: np.ndarray) -> Model:
     languages = sorted(set(names))
     place = {name: k for k, name in enumerate(languages)}
-    of = np.array([place[n] for n in names])
-    scale = 1.0 / (x.std(axis=0) + 1e-4) if len(x) else np.ones(BUCKETS)
-    scale = (scale / np.sqrt(BUCKETS)).astype(np.float32)
-    family = families(languages, np.array([x[of == k].mean(axis=0) for k in range(len(languages))])) if languages else []
-    family_of = np.array([family[k] for k in of]) if languages else of
+    of = np.array([place[n] for n in names], np.int64)
+    if not languages:
+        return Model([], [], [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), LEAST_LIMIT)
+    every = np.zeros(len(x), np.int64)
+    deviation = np.sqrt(np.maximum(x.means(every, 1, 2)[0] - x.means(every, 1)[0] ** 2, 0))
+    scale = (1.0 / (deviation + 1e-4) / np.sqrt(BUCKETS)).astype(np.float32)
+    family = families(languages, x.means(of, len(languages)))
+    family_of = np.array([family[k] for k in of])
     pairs = [("family", p, q) for p, q in combinations(sorted(set(family)), 2)] + [("language", p, q) for p, q in combinations(range(len(languages)), 2) if family[p] == family[q]]
     machines = trained(spark, x, scale, {"family": family_of, "language": of}, pairs)
     weights, bias = [w for w, _ in machines], [b for _, b in machines]
     shares, middle = profiles_of(x, n_grams, of, held, len(languages))
-    limit = SLACK * float(distances(x[held], n_grams[held], shares, middle, 0.0).max()) if held.sum() >= LEAST_HELD else np.inf
+    limit = limit_of(x, n_grams, held, shares, middle)
     return Model(languages, family, pairs, np.array(weights, np.float32).reshape(-1, BUCKETS).T, np.array(bias, np.float32), scale, shares, middle, limit)
 
 
@@ -238,30 +295,36 @@ def learn(docs: DataFrame, keep: Column | None = None, rows_a_language: int = RO
     known = docs.select("doc_id", "lang").where("lang is not null and lang <> '' and doc_id is not null")
     if keep is not None:
         known = known.where(keep)
-    n_languages = known.select("lang").distinct().count()
+    ids = written(known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")), "language-sizes")
+    n_languages = ids.count()
     rows_a_language = min(rows_a_language, max(LEAST_ROWS, MOST_ROWS // max(1, n_languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_a_language).select("doc_id", "lang")
-    chosen = chosen.distinct()
+    place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = known.join(ids, "lang").where(place < F.lit(float(rows_a_language)) / F.col("ids")).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other").select("doc_id", "lang")
+    chosen = written(chosen, "language-sample")
     if n_languages * rows_a_language <= MOST_ROWS:  # short rows: this may be broadcast
         chosen = F.broadcast(chosen)
-    taught = docs.select("doc_id", "lang", "text").where("text is not null").join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    taught = docs.select("doc_id", "lang", "text").where("text is not null").join(chosen, ["doc_id", "lang"], "left_semi")
+    one = taught.groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("text")).alias("row")).select("doc_id", "row.*")
 
     def run(batches):
         import pyarrow as pa
 
+        schema = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("share", pa.binary()), ("n", pa.float64()), ("held", pa.bool_())])
         for batch in batches:
             ids, langs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))
             for k in range(0, len(texts), 64):
                 rows = [(lang, i * 2654435761 % (1 << 31), p) for i, lang, t in zip(ids[k : k + 64], langs[k : k + 64], texts[k : k + 64], strict=True) for p in passages(t, i * 2654435761 % (1 << 31))]
                 x, has_letter, n_grams = gram_counts([p for _, _, p in rows])
-                own = [(lang, v.astype(np.float16).tobytes(), float(n), (key >> 8) % HELD_OUT == 0) for (lang, key, _), v, known, n in zip(rows, x, has_letter, n_grams, strict=True) if known]
-                schema = pa.schema([("lang", pa.string()), ("x", pa.binary()), ("n", pa.float64()), ("held", pa.bool_())])
+                own = []
+                for (lang, key, _), v, known, n in zip(rows, x, has_letter, n_grams, strict=True):
+                    if known:
+                        some = np.flatnonzero(v)
+                        own.append((lang, some.astype(np.uint16).tobytes(), v[some].astype(np.float16).tobytes(), float(n), (key >> 8) % HELD_OUT == 0))
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*own, strict=True)), strict=True)) if own else {c: [] for c in schema.names}, schema=schema)
 
-    rows = taught.mapInArrow(run, "lang string, x binary, n double, held boolean").collect()
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, BUCKETS)
-    return fitted(docs.sparkSession, x, [r["lang"] for r in rows], np.array([r["n"] for r in rows], np.float64), np.array([r["held"] for r in rows], bool))
+    table = one.mapInArrow(run, "lang string, gram binary, share binary, n double, held boolean").toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])
+    x = Shares.of(table.column("gram").to_pylist(), table.column("share").to_pylist())
+    return fitted(docs.sparkSession, x, table.column("lang").to_pylist(), table.column("n").to_numpy(), table.column("held").to_numpy().astype(bool))
 
 
 def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str, near_name: str) -> DataFrame:
@@ -273,10 +336,12 @@ def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str
     def run(batches):
         import pyarrow as pa
 
+        held("languages")
         for batch in batches:
-            found = model.predict([t or "" for t in batch.column("text").to_pylist()])
+            found = [f for _, texts in byte_texts(batch.column("text"), CHUNK_CHARS) for f in model.predict([t.decode() for t in texts])]
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_name, score_name, near_name])
+        release()
 
     return docs.mapInArrow(run, schema)
 
