@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 600_000
 
 
 @lru_cache(maxsize=1)
@@ -138,3 +138,23 @@ class Bounded(dict):
     def room(self, more: int) -> None:
         if len(self) + more > self.most:
             self.clear()
+
+
+class Recent(dict):
+    """A cache of two generations: when the young one is full it becomes the old one, and what comes
+    up again moves to the new young one. So frequent pre-tokens stay while rare ones go; at most
+    twice ``most`` entries and those of one chunk are held."""
+
+    def __init__(self, most: int = 150_000):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, word):
+        value = self[word] = self.old[word]
+        return value
+
+    def unknown(self, words: list) -> list:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return [w for w in words if w not in self and w not in self.old]

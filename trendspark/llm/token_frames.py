@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendspark.llm import pieces, vocab
-from trendspark.llm.common import chunks
+from trendspark.llm.common import chunks, held, release
 from trendspark.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,6 +44,9 @@ END_ID = 0
 FRAME_IDS = 1 << 16
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
+CHUNK_CHARS, KNOWN = 1_500_000, 300_000
+#: The letter that stands for each byte in the vocabulary.
+LETTERS = {byte: letter for letter, byte in vocab.byte_letters().items()}
 
 
 class FrameWriter:
@@ -158,7 +162,8 @@ def _open_fs(uri: str):
 
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them; each different pre-token is
-    encoded once by the library and kept in a bounded cache."""
+    encoded once by the library and kept in a bounded cache. A worker process has one (``encoder``),
+    so that its tasks read the tokenizer's file once and share what they have learned."""
 
     def __init__(self, path: str):
         import os
@@ -167,8 +172,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known = pieces.Bounded(600_000)
-        self.special = [s for s, _ in vocab.merges(path).special]
+        self.known = pieces.Recent(KNOWN)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def _learn(self, words: list[str]) -> None:
+        """Pre-tokens go straight to the library's model, in its letters for bytes: cutting is done."""
+        tokenize, known = self.library.model.tokenize, self.known
+        for w in words:
+            known[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(LETTERS))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -180,14 +191,8 @@ class Encoder:
                 plain.append(k)
         cut_up = pieces.Pieces([texts[k] for k in plain])
         known = self.known
-        new = [w for w in cut_up.different if w not in known]
-        known.room(len(new))
-        if not known:
-            new = cut_up.different
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
+        new = known.unknown(cut_up.different)
+        self._learn(new)
         flat, size = cut_up.ids([known[w] for w in cut_up.different])
         packed, at = flat.astype("<u4").tobytes(), 0
         for k, n in zip(plain, size.tolist(), strict=True):
@@ -196,6 +201,10 @@ class Encoder:
         return out
 
 
+def encoder(path: str) -> Encoder:
+    return held(f"encoder of {path}", lambda: Encoder(path))
+
+
 @dataclass(frozen=True)
 class Shards:
     """Where the files are, and a table of them: shard, file, n_docs, n_tokens."""
@@ -217,7 +226,7 @@ def write_frames(docs: DataFrame, folder: str | None = None, path: str | None =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = writer = None
+        own_encoder = writer = None
         shard = TaskContext.get().partitionId()
         store, base = _open_fs(folder)
         name, own = f"shard-{shard:06d}.zst", f".shard-{shard:06d}-{uuid.uuid4().hex}"
@@ -227,15 +236,16 @@ def write_frames(docs: DataFrame, folder: str | None = None, path: str | None =
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             if texts and writer is None:
                 store.create_dir(base, recursive=True)
-                encoder, out = Encoder(path), store.open_output_stream(f"{base}/{own}")
+                own_encoder, out = encoder(path), store.open_output_stream(f"{base}/{own}")
                 writer = FrameWriter(out)
-            for a, b in chunks(texts, pieces.CHUNK_CHARS):
-                for i, packed in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+            for a, b in chunks(texts, CHUNK_CHARS):
+                for i, packed in zip(ids[a:b], own_encoder.encode(texts[a:b]), strict=True):
                     writer.add(i, packed + end)
                     n_tokens += len(packed) // 4 + 1
         if writer is not None:
             writer.close()
             out.close()
+            release()
             store.move(f"{base}/{own}", f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.ids)], "n_tokens": [n_tokens]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
