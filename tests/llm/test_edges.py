@@ -156,6 +156,56 @@ def test_toxicity(spark):
     assert toxicity.scored(spark.createDataFrame([], COLUMNS), model).count() == 0
 
 
+def plain_contexts(symbols, use=("target", "negation", "report", "target after", "negation after", "report after", "insult", "threat")):
+    """The contexts of a clause's words, read off the definitions."""
+    T = toxicity
+    out = []
+    for i, s in enumerate(symbols):
+        before, after = symbols[:i], symbols[i + 1 :]
+        named = T.TARGET in before and "target" in use or T.TARGET in after and "target after" in use
+        negated = T.NEGATION in before[-T.NEGATION_REACH :] and "negation" in use or T.NEGATION in after[: T.NEGATION_AFTER] and "negation after" in use
+        said = T.REPORT in before and "report" in use or T.REPORT in after and "report after" in use
+        accepted = s == T.INSULT and "insult" in use or s == T.THREAT and "threat" in use and named
+        out.append(-1 if not accepted else T.REPORTED if said else T.NEGATED if negated else T.AIMED if named else T.PLAIN)
+    return out
+
+
+def test_composed_machine_equals_a_plain_reading():
+    draw = random.Random(4)
+    clauses = [[draw.choice([0, 1, 2, 3, 4, 5, 5, 5]) for _ in range(draw.randint(0, 9))] for _ in range(4000)]
+    machine = toxicity.Machine(*toxicity.grammar())
+    assert len(machine.left) > 8 and len(machine.right) > 4
+    whole = [machine.read(c) for c in clauses]
+    assert whole == [plain_contexts(c) for c in clauses]
+    silent = toxicity.Transducer(1, {})
+    every = ("target", "negation", "report", "target after", "negation after", "report after", "insult", "threat")
+    for side, names in enumerate((("insult", "threat", "target", "negation", "report"), ("target", "negation", "report"))):
+        for name in names:  # without any one of the transducers some clause reads differently
+            parts = [dict(p) for p in toxicity.grammar()]
+            parts[side][name] = silent
+            less = [toxicity.Machine(*parts).read(c) for c in clauses]
+            gone = name if side == 0 else name + " after"
+            assert less != whole and less == [plain_contexts(c, tuple(u for u in every if u != gone)) for c in clauses]
+
+
+def test_word_classes_are_learned(spark):
+    draw = random.Random(8)
+    filler = [f"word{i}" for i in range(200)]
+    say = lambda *own: " ".join([*draw.sample(filler, 2), *own, *draw.sample(filler, 2)])
+    rows = []
+    for _ in range(60):
+        rows += [(say("zorbish"), 1), (say("you", "gonna", "grindle"), 1), (say("ploogers", "zorbish"), 1), (say("hardly", "zorbish"), 0)]
+        rows += [(say("recounted", *draw.sample(filler, 4), "zorbish"), 0), (say("hello"), 0), (say("grindle"), 0) if draw.random() < 0.02 else (say("you"), 0)]
+    rows += [(say(*draw.sample(filler, 5)), 0) for _ in range(400)] + [(say("zorbish"), 1) for _ in range(500)] + [(say("you", "grindle"), 1) for _ in range(60)]
+    texts = spark.createDataFrame(rows, "text string, label int")
+    words = toxicity.lexicon(texts)
+    assert {w.rstrip("$")[:4] for w in words} >= {"zorb", "grin"}
+    threats, learned = toxicity.word_classes(texts, toxicity.Model(words))
+    assert {t.rstrip("$")[:4] for t in threats} == {"grin", "gonn"}  # which stands in those clauses only
+    assert learned["hardly"] == toxicity.NEGATION and learned["recounted"] == toxicity.REPORT
+    assert "hello" not in learned and "you" not in learned
+
+
 def test_toxicity_without_labels(spark):
     docs = odd(spark)
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -144,3 +144,46 @@ def test_no_labels_or_no_rows(spark, docs):
     empty = docs.limit(0)
     assert quality_rules.rules_from(empty, labels) == []
     assert quality_rules.judged(empty, []).count() == 0 and license_scan.scanned(empty).count() == 0
+
+
+def test_a_filter_costs_no_second_reading(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.rules_from(docs, labels)
+    judged = quality_rules.judged(docs, rules)
+    for condition in ("kept", "not base_failed", "n_repeat_words > 0 and n_words > 30"):
+        plan = judged.where(condition)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") <= 4  # of the text once each: blanks, symbols, capitals, shouts
+    whole = judged.collect()
+    assert sorted(map(tuple, judged.where("kept").collect()), key=str) == sorted((tuple(r) for r in whole if r.kept), key=str)
+
+
+def plain_rule_holds(rule, row):
+    return all(row[c.feature] >= c.limit if c.above else row[c.feature] < c.limit for c in rule)
+
+
+def test_learned_list_covers_what_it_says(spark):
+    """Each rule's precision, recounted plainly over the rows that the rules before it left, reaches the least one."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality_rules.with_statistics(docs).join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
+    held = (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0).alias("held")
+    rows = [r.asDict() for r in stats.select(*quality_rules.FEATURES, "label", held).collect()]
+    rules = quality_rules.learn(stats.select(*quality_rules.FEATURES, "label", held))
+    assert rules
+    for rule in rules:
+        covered = [r for r in rows if plain_rule_holds(rule, r)]
+        for part in (True, False):
+            own = [r for r in covered if r["held"] == part]
+            assert sum(r["label"] == 0 for r in own) >= quality_rules.LEAST_PRECISION * len(own)
+        assert sum(r["label"] == 0 and not r["held"] for r in covered) >= quality_rules.LEAST_ROWS
+        rows = [r for r in rows if not plain_rule_holds(rule, r)]
+
+
+def test_many_detections_in_one_text(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "mit license and " * 25_000), (2, "the apache license version 2 0 all rights reserved " * 4_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in license_scan.scanned(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "labels", F.size("detections").alias("n")).collect()}
+    assert time.time() - began < 60
+    assert got[1].n_base == 25_000 and got[1].last_word == 3 * 24_999 and got[1].n == 25_000 and got[1].labels == "mit"
+    assert got[2].n_base == 4_000 and "apache-2.0" in got[2].labels.split(",") and got[2].n == 8_000

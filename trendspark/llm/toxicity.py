@@ -3,23 +3,31 @@
 Words of a clause are read as symbols: insult, threat, target, negation, report, other. Small
 transducers, each a table of (state, symbol) -> (state, output), recognise one construction:
 
-* insult and threat emit the weight of each word that they accept;
-* target remembers whether the clause names someone;
+* insult and threat accept a word, which then counts with its weight;
+* target tells whether someone is named;
 * negation remembers a negating word for the next few words;
 * reported speech remembers a verb of saying until the end of the clause.
 
-They are composed into one machine whose states are tuples of their states, and which adds the
-weight of an accepted word to the sum of its context: plain, at a target, negated or reported.
-A text's features are, by context, the sums over its matched clauses; a logistic regression
-learned on labelled rows turns them into a score. So a word counts by the clause that it stands
-in, and what a negation or a quotation is worth is learned.
+What stands before a word decides as much as what stands after it ("not an idiot", "an idiot, not"),
+so a clause is read from the left by one machine and, if it holds an accepted word, from the right by
+another; each is the product of its transducers, whose states are tuples of theirs. Both
+outputs at a word give its context: reported, negated, aimed at a target, or plain; a threat without a
+target counts nowhere. A text's features are, by context, the sums over its matched clauses; a logistic
+regression learned on labelled rows turns them into a score. So a word counts by the clause
+that it stands in, and what a negation or a quotation is worth is learned.
 
-Words of the fixed lists are only seeds; the insult lexicon itself is learned: word beginnings
-and whole words that stand in labelled toxic texts far more often than in others, weighted by
-log odds. Learning uses at most ``SAMPLE_ROWS`` labelled rows (documented bound, chosen by a hash
-of the id) among those that ``keep`` allows, and of near copies in that sample only one (else the
-rare words of a text with many toxic copies would seem telling); counts of word beginnings are a Spark aggregate, of
-which at most ``LEXEMES`` rows reach the driver, and the regression sees a few numbers a row.
+Words of the fixed lists are only seeds; the classes are learned (``learn``):
+
+* insults: word beginnings and whole words that stand in labelled toxic texts far more often than in
+  others, weighted by log odds;
+* threats: those of them that nearly always stand in a clause with a target;
+* negations and reports: words after which, near or anywhere, an accepted word nearly always is harmless;
+* targets: words that hardly stand in other clauses than those with an accepted word.
+
+Learning uses at most ``SAMPLE_ROWS`` labelled rows (documented bound, chosen by a hash of the id) among
+those that ``keep`` allows, and of near copies in that sample only one (else the rare words of a text with
+many toxic copies would seem telling). Counts are Spark aggregates, of which the driver gets the words that
+stand in LEAST_TEXTS texts of the sample or more and tell one class; the regression sees a few numbers a row.
 
 Scoring is one pass over the scan without a shuffle; each task holds one batch of texts.
 
@@ -39,18 +47,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import fresh, labelled_sample, written
-from trendspark.llm.ngram_join import FACTORS, WordHash, ngram_sets
+from trendspark.llm.common import byte_texts, fresh, held, labelled_sample, release, written
+from trendspark.llm.ngram_join import FACTORS, ngram_sets
 
-SAMPLE_ROWS, LEXEMES = 12_000, 4_000
+SAMPLE_ROWS = 12_000
+CHUNK_BYTES = 1 << 20
 SHORTEST, LONGEST = 4, 10
 LEAST_TEXTS, LEAST_SHARE = 6, 0.75
 THRESHOLD = 0.7
-NEGATION_REACH = 3
+NEGATION_REACH, NEGATION_AFTER = 3, 2
+NEARLY_ALWAYS = 0.9
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
-#: Seeds of the grammar's word classes; insults are added by learning.
+#: Seeds of the grammar's word classes; more are learned.
 SEEDS = {
+    INSULT: "idiot stupid moron scum loser trash".split(),
     THREAT: "kill killing murder hurt destroy punish stab shoot burn beat töten umbringen tuer matar".split(),
     TARGET: "you your yours u he she they them people du dich dein ihr euch tu toi vous tes tú ti usted vosotros".split(),
     NEGATION: "not never no nicht kein keine nie pas jamais nunca jamás isn't aren't don't".split(),
@@ -73,54 +84,103 @@ class Transducer:
         return self.moves.get((state, symbol), (state, 0))
 
 
-def grammar() -> tuple[Transducer, Transducer, Transducer, Transducer, Transducer]:
-    accept = lambda symbol: Transducer(1, {(0, symbol): (0, 1)})
-    target = Transducer(2, {(0, TARGET): (1, 0)} | {(1, s): (1, 1) for s in range(6)})
-    reach = NEGATION_REACH  # states count down the words that a negation still reaches
-    negation = Transducer(reach + 1, {(s, x): (reach, 0) if x == NEGATION else (max(0, s - 1), int(s > 0)) for s in range(reach + 1) for x in range(6)})
-    report = Transducer(2, {(0, REPORT): (1, 0)} | {(1, s): (1, 1) for s in range(6)})
-    return accept(INSULT), accept(THREAT), target, negation, report
+def accept(symbol: int) -> Transducer:
+    return Transducer(1, {(0, symbol): (0, 1)})
+
+
+def once_seen(symbol: int) -> Transducer:
+    """1 for every word after the first one of the symbol."""
+    return Transducer(2, {(0, symbol): (1, 0)} | {(1, s): (1, 1) for s in range(6)})
+
+
+def within(symbol: int, reach: int) -> Transducer:
+    """1 for ``reach`` words after each of the symbol; states count them down."""
+    return Transducer(reach + 1, {(s, x): (reach, int(s > 0)) if x == symbol else (max(0, s - 1), int(s > 0)) for s in range(reach + 1) for x in range(6)})
 
 
-def compose() -> list[list[tuple[int, int, int]]]:
-    """The product machine: for each state and symbol the next state, the feature that the word's
-    weight is added to (-1: none), and whether the word is a threat."""
-    parts = grammar()
-    index, todo, table = {(0,) * len(parts): 0}, [(0,) * len(parts)], []
+def grammar() -> tuple[dict[str, Transducer], dict[str, Transducer]]:
+    """The transducers that read a clause from the left, and those that read it from the right."""
+    left = {"insult": accept(INSULT), "threat": accept(THREAT), "target": once_seen(TARGET), "negation": within(NEGATION, NEGATION_REACH), "report": once_seen(REPORT)}
+    right = {"target": once_seen(TARGET), "negation": within(NEGATION, NEGATION_AFTER), "report": once_seen(REPORT)}
+    return left, right
+
+
+def compose(parts: dict[str, Transducer]) -> list[list[tuple[int, frozenset[str]]]]:
+    """The product machine: for each state and symbol the next state, and the names of the parts that put out 1."""
+    start = (0,) * len(parts)
+    index, todo, table = {start: 0}, [start], []
     while len(table) < len(todo):
         state, row = todo[len(table)], []
         for symbol in range(6):
-            moves = [p.step(s, symbol) for p, s in zip(parts, state, strict=True)]
+            moves = [p.step(s, symbol) for p, s in zip(parts.values(), state, strict=True)]
             after = tuple(m[0] for m in moves)
             if after not in index:
                 index[after] = len(todo)
                 todo.append(after)
-            insult, threat, aimed, negated, reported = (m[1] for m in moves)
-            context = REPORTED if reported else NEGATED if negated else AIMED if aimed else PLAIN
-            row.append((index[after], context if insult or threat else -1, threat))
+            row.append((index[after], frozenset(name for name, m in zip(parts, moves, strict=True) if m[1])))
         table.append(row)
     return table
 
 
+def context(before: frozenset[str], after: frozenset[str]) -> int:
+    """The feature of a word by what the two machines put out at it; -1: it counts nowhere."""
+    said = before | after
+    if not said & {"insult", "threat"} or "insult" not in said and "target" not in said:
+        return -1
+    return REPORTED if "report" in said else NEGATED if "negation" in said else AIMED if "target" in said else PLAIN
+
+
+class Machine:
+    """Both product machines of a grammar and what their outputs mean."""
+
+    def __init__(self, left: dict[str, Transducer], right: dict[str, Transducer]):
+        self.left, self.right = compose(left), compose(right)
+        outputs = lambda table: {out for row in table for _, out in row}
+        self.context = {(a, b): context(a, b) for a in outputs(self.left) for b in outputs(self.right)}
+
+    def read(self, symbols: list[int]) -> list[int]:
+        """The context of each word of a clause."""
+        state, before = 0, []
+        for s in symbols:
+            state, out = self.left[state][s]
+            before.append(out)
+        state, after = 0, []
+        for s in reversed(symbols):
+            state, out = self.right[state][s]
+            after.append(out)
+        return [self.context[pair] for pair in zip(before, reversed(after), strict=True)]
+
+
 @dataclass
 class Model:
-    """Word beginnings and whole words ("word$") with weights, and the regression's weights."""
+    """Word beginnings and whole words ("word$") with weights, those of them that are threats, the symbols
+    of other words, and the regression's weights."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [-3.0, 1.5, 2.0, 0.3, 0.3, 0.5, 0.5, 0.0, 0.0])
+    threats: frozenset[str] = frozenset()
+    learned: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.machine = compose()
-        self.symbol = {w: k for k, ws in SEEDS.items() for w in ws}
+        self.machine = Machine(*grammar())
+        self.symbol = self.learned | {w: k for k, ws in SEEDS.items() if k != INSULT for w in ws}
         self.begins = [n for n in range(SHORTEST, LONGEST + 1) if any(len(w) == n and w[-1] != "$" for w in self.lexicon)]
         self.known: dict[str, tuple[int, float]] = {}
 
+    def part(self, word: str) -> str | None:
+        """The lexicon's part with the largest weight that the word has."""
+        own = [p for p in (word + "$", *(word[:n] for n in self.begins if len(word) >= n)) if p in self.lexicon]
+        return max(own, key=lambda p: self.lexicon[p], default=None)
+
     def read(self, word: str) -> tuple[int, float]:
         """Symbol and weight of a word."""
         got = self.known.get(word)
         if got is None:
-            weight = max([self.lexicon.get(word + "$", 0.0), *(self.lexicon.get(word[:n], 0.0) for n in self.begins if len(word) >= n)])
-            got = (INSULT, weight) if weight else (self.symbol.get(word, OTHER), 1.0)
+            part = self.part(word)
+            if part is not None:
+                got = (THREAT if part in self.threats or self.symbol.get(word) == THREAT else INSULT, self.lexicon[part])
+            else:
+                got = (self.symbol.get(word, OTHER), 1.0)
             if len(self.known) > 300_000:
                 self.known.clear()
             self.known[word] = got
@@ -130,21 +190,16 @@ class Model:
         """Sum and largest of the clause weights in each context, and the constant."""
         out = np.zeros(N_FEATURES)
         out[0] = 1.0
-        read, machine = self.read, self.machine
+        read = self.read
         for clause in CLAUSE.split(text.lower()):
             words = WORD.findall(clause)
             symbols = [read(w) for w in words]
             if not any(s <= THREAT for s, _ in symbols):
                 continue  # nothing that the grammar accepts
-            # someone may be named before or after the word, so the clause is read twice
-            state, sums = 0, [0.0] * 4
-            named = any(s == TARGET for s, _ in symbols)
-            for symbol, weight in symbols:
-                state, context, threat = machine[state][symbol]
-                if context >= 0:
-                    if threat and not named:
-                        continue  # a threat needs a target
-                    sums[AIMED if context == PLAIN and named else context] += weight
+            sums = [0.0] * 4
+            for (_, weight), where in zip(symbols, self.machine.read([s for s, _ in symbols]), strict=True):
+                if where >= 0:
+                    sums[where] += weight
             for k, v in enumerate(sums):
                 out[1 + k] += v
                 out[5 + k] = max(out[5 + k], v)
@@ -163,10 +218,8 @@ def without_copies(texts: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        known = WordHash()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sets = ngram_sets(texts, known, 3)
+            sets = [s for _, texts in byte_texts(batch.column("text"), CHUNK_BYTES) for s in ngram_sets(texts, 3)]
             least = [[int((s * k ^ (s >> np.uint64(23))).min() >> np.uint64(1)) if len(s) else -1 for s in sets] for k in FACTORS[:3]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.int64()) for v in least)], names=[*batch.schema.names, "h0", "h1", "h2"])
 
@@ -196,7 +249,7 @@ def lexicon(texts: DataFrame) -> dict[str, float]:
         return {}
     counts = texts.mapInArrow(run, "part string, clean long, toxic long").groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     telling = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-    top = telling.orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), F.length("part"), "part").limit(LEXEMES).collect()
+    top = telling.collect()  # parts of words that stand in LEAST_TEXTS toxic texts of a bounded sample
     weight = {r["part"]: math.log((r["toxic"] + 0.5) / (n[1] + 1)) - math.log((r["clean"] + 0.5) / (n[0] + 1)) for r in top}
     # the shortest beginning stands for the longer ones that it covers, a word for the beginnings that only it has
     toxic = {r["part"]: r["toxic"] for r in top}
@@ -209,6 +262,53 @@ def lexicon(texts: DataFrame) -> dict[str, float]:
     return out
 
 
+def word_classes(texts: DataFrame, model: Model) -> tuple[frozenset[str], dict[str, int]]:
+    """(threats, symbols): the lexicon's parts that are threats, and the learned targets, negations and
+    reports, from (text, label) with what ``model`` accepts. Seeds keep their class."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counts: dict[tuple[str, str], list[int]] = {}
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                seen = set()
+                for clause in CLAUSE.split(text.lower()):
+                    words = WORD.findall(clause)
+                    parts = [model.part(w) for w in words]
+                    at = [i for i, p in enumerate(parts) if p is not None]
+                    named = any(model.symbol.get(w) == TARGET for w in words)
+                    for i, w in enumerate(words):
+                        if parts[i] is not None:
+                            seen |= {(parts[i], "stands")} | ({(parts[i], "aimed")} if named else set())
+                            continue
+                        seen.add((w, "any"))
+                        if at:
+                            seen.add((w, "in"))
+                            ahead = [k - i for k in at if k > i]
+                            if ahead:
+                                seen.add((w, "near" if min(ahead) <= NEGATION_REACH else "ahead"))
+                for key in seen:
+                    counts.setdefault(key, [0, 0])[label] += 1
+            yield pa.RecordBatch.from_pydict({"word": [w for w, _ in counts], "role": [r for _, r in counts], "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}, schema=pa.schema([("word", pa.string()), ("role", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+
+    counts = texts.mapInArrow(run, "word string, role string, clean long, toxic long").groupBy("word", "role").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    of = lambda role, what: F.sum(F.when(F.col("role") == role, F.col(what)).otherwise(0)).alias(f"{role}_{what}")
+    wide = counts.groupBy("word").agg(*(of(r, w) for r in ("stands", "aimed", "any", "in", "near", "ahead") for w in ("clean", "toxic")))
+    both = lambda r: F.col(f"{r}_clean") + F.col(f"{r}_toxic")
+    harmless = lambda r: (both(r) >= LEAST_TEXTS) & (F.col(f"{r}_clean") >= LEAST_SHARE * both(r))
+    kind = (
+        F.when((both("stands") >= LEAST_TEXTS) & (both("aimed") >= NEARLY_ALWAYS * both("stands")), THREAT)
+        .when(both("stands") > 0, None)
+        .when(harmless("near"), NEGATION)
+        .when(harmless("ahead"), REPORT)
+        .when((F.col("in_toxic") >= LEAST_TEXTS) & (both("in") >= LEAST_SHARE * both("any")), TARGET)
+    )
+    found = wide.select("word", kind.alias("kind")).where("kind is not null").collect()  # words of LEAST_TEXTS texts of a bounded sample
+    seeds = {w for ws in SEEDS.values() for w in ws}
+    return frozenset(r["word"] for r in found if r["kind"] == THREAT), {r["word"]: r["kind"] for r in found if r["kind"] != THREAT and r["word"] not in seeds}
+
+
 def regression(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 100) -> list[float]:
     """Logistic regression by damped Newton steps, with a light penalty on the constant. A match
     never speaks against toxicity, so features with a negative weight are left out one by one."""
@@ -240,9 +340,10 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taught), "doc_id").select("text", "label")
     texts = without_copies(texts)
     words = lexicon(texts)
-    model = Model(words)
     if not words:
-        return Model({w + "$": 3.0 for w in "idiot stupid moron scum loser trash".split()})
+        return Model({w + "$": 3.0 for w in SEEDS[INSULT]})
+    classes = word_classes(texts, Model(words))
+    model = Model(words, threats=classes[0], learned=classes[1])
 
     def run(batches):
         import pyarrow as pa
@@ -252,7 +353,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label").cast(pa.int32())], names=["x", "label"])
 
     rows = texts.mapInArrow(run, "x array<double>, label int").collect()  # N_FEATURES numbers for each sampled row
-    return Model(words, regression(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)))
+    return Model(words, regression(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)), *classes)
 
 
 def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
@@ -264,9 +365,11 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        held("toxicity")
         for batch in batches:
-            score = pa.array([model.score(t or "") for t in batch.column("text").to_pylist()], pa.float64())
+            score = pa.array([model.score(t.decode()) for _, texts in byte_texts(batch.column("text"), CHUNK_BYTES) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
+        release()
 
     return docs.mapInArrow(run, schema)
 
