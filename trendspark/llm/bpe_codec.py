@@ -16,7 +16,6 @@ table gives an empty table; extra columns of the input are not read.
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trendspark.llm import pieces, vocab
-from trendspark.llm.common import chunks
+from trendspark.llm.common import chunks, held, release
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -137,9 +136,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """The worker process's codec for the file."""
+    return held(f"codec of {path}", lambda: Codec(path))
 
 
 def encoded(docs: DataFrame, path: str | None = None, texts_too: bool = False) -> DataFrame:
@@ -178,6 +177,7 @@ def _mapped(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
                     out.append({"doc_id": names[k]} | one)
                     at += n
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema)
