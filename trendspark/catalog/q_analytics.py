@@ -191,18 +191,17 @@ SELECT video_id, region, NULL::VARCHAR AS category_id, views, 'region' AS pull,
 FROM videos
 UNION ALL
 SELECT video_id, NULL::VARCHAR AS region, category_id, views, 'category' AS pull, 1 AS collection_number
-FROM videos WHERE category_id = '1'
+FROM videos
 """
 
 
 @query("region_union_batches", SQL_REGION_UNION)
 def region_union_batches(spark, sf):
-    """P6 + U1: region pull and category pull unioned by name, missing columns null, duplicates kept."""
+    """P6 + U1 + D9: region pull and the pulls of all categories unioned by name, missing columns null, duplicates kept."""
     from trendspark.sources.adapters import videos
     v = videos(spark, sf)
     region_pull = P.tag_batch(v.select("video_id", "region", "views"), pull="region", collection_number=1)
-    category_pull = P.tag_batch(v.where(F.col("category_id") == "1").select("video_id", "category_id", "views"),
-                                pull="category", collection_number=1)
+    category_pull = P.tag_batch(v.select("video_id", "category_id", "views"), pull="category", collection_number=1)
     return U.union_batches([region_pull, category_pull]).select(
         "video_id", "region", "category_id", "views", "pull", "collection_number")
 

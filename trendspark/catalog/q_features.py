@@ -258,8 +258,7 @@ SELECT video_id, channel_id, engagement_score, channel_video_count,
        round(engagement_score / coalesce(channel_avg_engagement, 1.0), 6) AS relative_engagement
 FROM (SELECT video_id, channel_id, engagement_score,
              count(*) OVER (PARTITION BY channel_id) AS channel_video_count,
-             CASE WHEN (SELECT count(*) FROM ve) > 100
-                  THEN avg(engagement_score) OVER (PARTITION BY channel_id) END AS channel_avg_engagement
+             avg(engagement_score) OVER (PARTITION BY channel_id) AS channel_avg_engagement
       FROM ve)
 """
 
@@ -268,7 +267,7 @@ FROM (SELECT video_id, channel_id, engagement_score,
 def channel_windows(spark, sf):
     """W1 + J2 + J3 + F8: channel count / mean mapped to rows (groupBy + join, skew-safe)."""
     from trendspark.plans.features import channel_features
-    out = channel_features(ve(spark, sf).select("video_id", "channel_id", "engagement_score"), min_rows=100)
+    out = channel_features(ve(spark, sf).select("video_id", "channel_id", "engagement_score"))
     return rounded(out, 6, only=["channel_avg_engagement", "relative_engagement"])
 
 

@@ -216,11 +216,16 @@ def stream_sessions(spark, sf):
     return I.run_to_table(spark, sess, "sessions", output_mode="complete")
 
 
-@query("stream_dedup")
+SQL_DEDUP = with_views("snapshots") + """
+SELECT DISTINCT video_id, category_id, region, fetch_time FROM snapshots
+"""
+
+
+@query("stream_dedup", SQL_DEDUP)
 def stream_dedup(spark, sf):
-    """Streaming extension: drop repeated (key, snapshot time) deliveries within the watermark."""
+    """Streaming extension: the (key, snapshot time) of each delivery, repeated ones within the watermark once."""
     d = WN.dedup_snapshots(I.snapshot_stream(spark, sf), KEY, "fetch_time", "1 hour")
-    return I.run_to_table(spark, d, "dedup", output_mode="append")
+    return I.run_to_table(spark, d.select(*KEY, "fetch_time"), "dedup", output_mode="append")
 
 
 @query("sessions", SQL_SESSIONS)

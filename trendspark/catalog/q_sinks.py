@@ -83,7 +83,12 @@ def upsert_roundtrip(spark, sf):
                                            "views")
 
 
-@query("stream_snapshot_sink")
+SQL_SNAPSHOT_SINK = with_views("snapshots") + """
+SELECT snapshot_id, video_id, category_id, region, fetch_time, views, likes, comments FROM snapshots
+"""
+
+
+@query("stream_snapshot_sink", SQL_SNAPSHOT_SINK)
 def stream_snapshot_sink(spark, sf):
     """T2 + S12: the tagged snapshot stream appended to a Parquet table (a replayed batch replaces itself)."""
     from trendspark.streaming import ingest as I

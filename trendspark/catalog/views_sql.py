@@ -74,6 +74,13 @@ FROM part
 """)
 
 
+_view("wide_videos", ["videos", "texts"], """
+SELECT v.* EXCLUDE (category_id),
+       ['1', '10', '15', '17', '19', '2', '20', '22', '23', '24', '25', '26', '27', '28'][v.channel_id % 14 + 1] AS category_id,
+       t.title
+FROM videos v LEFT JOIN texts t ON t.doc_id = v.video_id % (SELECT max(doc_id) + 1 FROM documents)
+""")
+
 _REQ_CATS = "['1', '10', '17', '20', '22', '23', '24', '25', '26', '27', '28']"
 
 

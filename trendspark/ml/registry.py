@@ -64,6 +64,40 @@ def score_all(registry_rows: list, root: str, df: DataFrame, key: str) -> DataFr
     return out
 
 
+SCORED = "model_name string, target_name string, model_type string, prediction double, probability double, error string"
+
+
+def score_each(registry: DataFrame, root: str, df: DataFrame, key: str) -> DataFrame:
+    """M14 with errors by target: every usable model scores ``df`` in one scan (each adds its columns to
+    the same projection), features that ``df`` lacks are 0 (F55); a model that cannot be loaded or applied
+    gives one row with its error and a null key. An empty registry gives no rows."""
+    spark = df.sparkSession
+    rows = registry.select("model_name", "target_name", "model_type", "features").collect()  # metadata, a row a model
+    lacking = sorted({f for r in rows for f in r["features"] or []} - set(df.columns))
+    out, usable, errors = df.withColumns({f: F.lit(0.0) for f in lacking}), [], []
+    for i, r in enumerate(rows):
+        try:
+            model = load_model(root, r["model_name"])
+            last = model.stages[-1]
+            names = {p: f"_{i}_{p}" for p in ("predictionCol", "probabilityCol", "rawPredictionCol") if last.hasParam(p)}
+            for p, name in names.items():
+                last.set(last.getParam(p), name)
+            own = model.transform(out)
+            prob = MD.positive_probability(names["probabilityCol"]) if r["model_type"] == "classification" else F.lit(None).cast("double")
+            own = own.withColumns({f"_{i}_prediction": F.col(names["predictionCol"]).cast("double"), f"_{i}_score": prob})
+            out = own.drop("features", *[n for n in names.values()])
+            usable.append((i, r))
+        except Exception as e:
+            errors.append((r["model_name"], r["target_name"], r["model_type"], None, None, f"{type(e).__name__}: {e}"[:300]))
+    kind = df.schema[key].dataType.simpleString()
+    failed = spark.createDataFrame(errors, SCORED).select(F.lit(None).cast(kind).alias(key), "*")
+    if not usable:
+        return failed
+    each = F.array(*[F.struct(F.lit(r["model_name"]).alias("model_name"), F.lit(r["target_name"]).alias("target_name"), F.lit(r["model_type"]).alias("model_type"),
+                              F.col(f"_{i}_prediction").alias("prediction"), F.col(f"_{i}_score").alias("probability"), F.lit(None).cast("string").alias("error")) for i, r in usable])
+    return out.select(key, F.explode(each).alias("s")).select(key, "s.*").unionByName(failed)
+
+
 def compare_models(registry: DataFrame, kind: str) -> DataFrame:
     """M16 + O8: metrics per model, sorted by target then the main metric (desc)."""
     if kind == "classification":

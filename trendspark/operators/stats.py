@@ -296,13 +296,8 @@ def box_numbers(df: DataFrame, group: str, col: str, approx: bool = False) -> Da
         qs = F.percentile_approx(col, [0.25, 0.5, 0.75], 100000)
         qt = df.groupBy(group).agg(qs.alias("q"), F.count(col).alias("n"))
     else:
-        # exact quartiles by bucketed selection (no per-group value map in one task); the
-        # group set is a dimension, so the quartile table is small and built from literals
-        quart = exact_quantiles_by_group(df, group, col, [0.25, 0.5, 0.75])
-        spark = df.sparkSession
-        qrows = spark.createDataFrame([(k, [float(x) for x in q]) for k, q in quart.items()],
-                                      T.StructType([df.schema[group], T.StructField("q", T.ArrayType(T.DoubleType()))]))
-        qt = df.groupBy(group).agg(F.count(col).alias("n")).join(F.broadcast(qrows), group)
+        from trendspark.operators.quantiles import quantiles_of_groups
+        qt = df.groupBy(group).agg(F.count(col).alias("n")).join(quantiles_of_groups(df, group, col, [0.25, 0.5, 0.75]), group)
     qt = qt.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     qt = qt.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = df.select(group, col).join(qt, group)

@@ -18,6 +18,8 @@ texts      documents (+ labels): title=trimmed text before the first '.' or
            newline, description=text, tags=second line of the text,
            channel_title=source, region=lang.
 parts      part: duration_seconds=p_size*120, category_name=p_type.
+wide_videos  videos with title = that of document video_id mod (number of document ids) and
+           category_id = one of 14 ids by channel_id mod 14.
 """
 
 from __future__ import annotations
@@ -116,6 +118,20 @@ def texts(spark: SparkSession, sf_dir: str, with_labels: bool = False) -> DataFr
     return t
 
 
+WIDE_CATEGORIES = ["1", "10", "15", "17", "19", "2", "20", "22", "23", "24", "25", "26", "27", "28"]
+
+
+def wide_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``videos`` with a title (of the document whose id is the video's modulo the number of ids) and a
+    category id picked by the channel, for the wide feature table."""
+    v = videos(spark, sf_dir)
+    ids = read_table(spark, sf_dir, "documents", ["doc_id"]).select(F.max("doc_id") + 1).scalar()
+    titles = texts(spark, sf_dir).select(F.col("doc_id").alias("_doc"), "title")
+    cats = F.array(*[F.lit(c) for c in WIDE_CATEGORIES])
+    picked = F.element_at(cats, (F.pmod("channel_id", F.lit(len(WIDE_CATEGORIES))) + 1).cast("int"))
+    return v.withColumn("category_id", picked).withColumn("_doc", F.pmod(F.col("video_id"), ids)).join(titles, "_doc", "left").drop("_doc")
+
+
 REQUEST_CATEGORIES = ["1", "10", "17", "20", "22", "23", "24", "25", "26", "27", "28"]
 
 
