@@ -224,6 +224,47 @@ def test_language(spark):
     assert language_id.predicted(spark.createDataFrame([], COLUMNS), model).count() == 0
 
 
+def test_repeated_rows_teach_once(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    seen, real = [], language_id.fitted
+    monkeypatch.setattr(language_id, "fitted", lambda spark, x, names, *rest: seen.append((len(x), sorted(names))) or real(spark, x, names, *rest))
+    language_id.learn(docs)
+    one = docs.where("lang = 'en' and length(text) > 200").orderBy("doc_id").limit(1)
+    many = docs.union(one.crossJoin(spark.range(6000)).select("doc_id", "text", "lang")).repartition(8)
+    language_id.learn(many)
+    assert seen[0] == seen[1] and seen[0][0] <= 3 * docs.count()
+    plan = many.select("doc_id", "lang").groupBy("lang").count()._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def plain_vote(model, margin):
+    """Family, then language, by counting won pairs."""
+    def winner(step, of):
+        won = {k: (0, 0.0) for k in of}
+        for (kind, p, q), m in zip(model.pairs, margin, strict=True):
+            if kind == step and p in won and q in won:
+                won[p] = won[p][0] + (m > 0), won[p][1] + m
+                won[q] = won[q][0] + (m < 0), won[q][1] - m
+        return sorted(of, key=lambda k: (-won[k][0], -won[k][1], k))[0]
+
+    family = winner("family", sorted(set(model.family)))
+    return model.languages[winner("language", [k for k, f in enumerate(model.family) if f == family])]
+
+
+def test_prediction_equals_a_plain_vote(spark):
+    docs = table(spark, SF, "documents")
+    model = language_id.learn(docs, keep=id_crc() % 5 != 0)
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(120).collect()]
+    found = model.predict(texts)
+    x, letters, n = language_id.gram_counts(texts)
+    for t, (lang, score, near), row, known, grams in zip(texts, found, x, letters, n, strict=True):
+        assert known == any(c.isalpha() for c in t) and 0 <= score <= 1
+        if known:
+            margin = [float(sum(v * s * w for v, s, w in zip(row.tolist(), model.scale.tolist(), model.weights[:, k].tolist(), strict=True) if v)) + float(model.bias[k]) for k in range(len(model.pairs))]
+            if min(map(abs, margin)) > 1e-3:
+                assert lang == plain_vote(model, margin)
+
+
 def test_language_with_nothing_to_learn(spark):
     model = language_id.learn(odd(spark))
     assert language_id.predicted(odd(spark), model).where("lang_pred = 'und'").count() == len(ODD)
