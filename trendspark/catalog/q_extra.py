@@ -125,7 +125,7 @@ def mean_bootstrap_by_hour(spark, sf):
 
 # --- variants of single operators -----------------------------------------------------------------
 SQL_TRENDING_POPULAR = with_views("vf") + """
-SELECT video_id, region, views, round(popularity_score, 6) AS popularity_score
+SELECT video_id, region, views
 FROM (SELECT *, ln(1 + views) * engagement_score AS popularity_score FROM vf) ORDER BY round(popularity_score, 9) DESC, video_id LIMIT 1000
 """
 
@@ -134,7 +134,7 @@ FROM (SELECT *, ln(1 + views) * engagement_score AS popularity_score FROM vf) OR
 def trending_by_popularity(spark, sf):
     """O1: the trending list by popularity_score where the rows have one (top 1000)."""
     v = vf(spark, sf).withColumn("popularity_score", F.round(F.log1p("views") * F.col("engagement_score"), 9))
-    return rounded(P.trending_order(v).select("video_id", "region", "views", "popularity_score"), 6)
+    return P.trending_order(v).select("video_id", "region", "views")
 
 
 SQL_VIEWS_FROM_RATE = with_views("vf") + "SELECT video_id, CAST(trunc(views_per_hour * 48) AS BIGINT) AS views_estimate FROM vf"
