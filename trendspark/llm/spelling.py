@@ -235,7 +235,9 @@ def near_words(found: DataFrame) -> DataFrame:
                 yield compared(held.slice(a, b - a), numbers[a:b])
 
     key = ["first", "short", "half", "i", "j"]
-    dealt = _tiles(found).repartition(*key).sortWithinPartitions(*key, "word")
+    # a fixed number of tasks: tiles are few bytes and much work, so partitions joined by their bytes would be long tasks
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _tiles(found).repartition(tasks, *key).sortWithinPartitions(*key, "word")
     parts = dealt.mapInArrow(run, "word string, n_near long, most_n long, most_word string")
     most = F.min(F.struct((-F.col("most_n")).alias("n"), F.col("most_word").alias("word"))).alias("most")
     return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), most).select("word", "n_near", (-F.col("most.n")).alias("most_n"), F.col("most.word").alias("most_word"))
