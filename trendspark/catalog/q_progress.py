@@ -10,6 +10,7 @@ from trendspark.operators import aggregates as AG
 from trendspark.operators import sets as U
 from trendspark.sources import adapters as A
 from trendspark.sources import files as SRC
+from trendspark.streaming import blocks as BL
 from trendspark.streaming import ingest as I
 from trendspark.streaming import progression as PG
 from trendspark.streaming import windows as WN
@@ -178,6 +179,21 @@ def trend_days(spark, sf):
     return PG.trend_days(A.snapshots(spark, sf), KEY, "fetch_time")
 
 
+@query("stream_trend_days", SQL_TREND_DAYS)
+def stream_trend_days(spark, sf):
+    """W6 online: days on trending from blocks of days, whose state leaves the store behind the watermark."""
+    blocks = I.run_to_table(spark, BL.block_state(I.snapshot_stream(spark, sf), KEY), "trend_days", output_mode="update")
+    return BL.merged(blocks, KEY).select(*KEY, "days_on_trending", "snapshot_count")
+
+
+@query("stream_progression_online", SQL_PROGRESSION)
+def stream_progression_online(spark, sf):
+    """T3 + T4 online: as ``stream_progression``, with state that leaves the store behind the watermark."""
+    blocks = I.run_to_table(spark, BL.block_state(I.snapshot_stream(spark, sf), KEY), "progression_blocks", output_mode="update")
+    state = BL.merged(blocks, KEY).drop("days_on_trending")
+    return rounded(PG.progression_from_state(state, KEY), 9, only=_GROWTH)
+
+
 SQL_STREAM_WINDOWS = with_views("snapshots") + """
 SELECT time_bucket(INTERVAL 6 HOUR, fetch_time) AS window_start,
        time_bucket(INTERVAL 6 HOUR, fetch_time) + INTERVAL 6 HOUR AS window_end,

@@ -61,8 +61,9 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     """Drain ``stream`` (availableNow) into Parquet at ``path`` and return the batch view of it.
 
     Each micro-batch overwrites a folder of its own (``batch_id=N``), so a batch that is replayed
-    after a lost commit replaces itself. In append mode the table is all batches, in complete mode
-    the last one; an earlier result stays readable until the next one is complete.
+    after a lost commit replaces itself. In append mode the table is all batches, in update mode too (the
+    reader takes the newest version of a key), in complete mode the last one; an earlier result stays
+    readable until the next one is complete. A stream without any file gives an empty table.
     """
     path = path or scratch_path(spark, f"{name}-table")
     checkpoint = checkpoint or scratch_path(spark, f"{name}-checkpoint")
@@ -78,6 +79,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover - surfaced to the caller
         raise RuntimeError(str(q.exception()))
+    if not _is_dir(spark, path):
+        return spark.createDataFrame([], stream.schema)
     table = spark.read.parquet(path)
     if output_mode == "complete":
         last = table.agg(F.max("batch_id")).first()[0]
