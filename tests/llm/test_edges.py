@@ -285,6 +285,16 @@ def test_mixing(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mix_is_in_global_order_without_sampling(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}", "n", "n") for i in range(3000)], COLUMNS)
+    mixed = mixing.mixed(docs, {"s0": 1.0, "s1": 2.0, "none such": 1.0, "s2": 0.0})
+    got = [(r["place"], r["doc_id"], r["copy"]) for r in mixed.collect()]
+    assert got == sorted(got) and abs(len(got) - 2000) < 300 and 0 <= got[0][0] < got[-1][0] < 1
+    sizes = [r["count"] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1.5 * min(sizes)
+    assert "rangepartitioning" not in mixed._jdf.queryExecution().toString()
+
+
 def plain_poisson(u, rate):
     """The least k with u < P(X <= k), by exact terms from far below the mean."""
     k = max(0, math.floor(rate - 14 * math.sqrt(rate) - 30))

@@ -4,12 +4,14 @@ A source's rate is the mean number of copies of its documents that gives it its
 as many documents as there are: rate = weight x rows / rows of the source. Each document draws
 its number of copies by inverting the Poisson distribution with that mean at a uniform number
 hashed from seed and id; it is exploded by the count, and all copies are put in a global order
-by another hash (a range-partitioned sort). No rate is cut: a source of few documents gets its
+by another hash. That hash is uniform on [0, 1), so partition i of n takes its values from i / n
+to (i + 1) / n and sorts them: the borders are known and no pass samples the texts for them. No rate is cut: a source of few documents gets its
 share by as many copies of each as that takes. So the draw of a document depends on its id, its
 source's rate and the seed alone: repeats and lost executors give the same mix.
 
 Scale: one aggregate by source (pre-aggregated in the scan), then one shuffle of what is kept, by
-a hash, so a source with a third of all rows is spread evenly. The table of sources is broadcast
+a hash, so a source with a third of all rows is spread evenly, into spark.sql.shuffle.partitions
+partitions. The table of sources is broadcast
 only if it has at most ``BROADCAST_SOURCES`` rows, which is counted first; beyond that it is
 joined by a shuffle.
 
@@ -74,7 +76,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None) -> Da
         weighed = n.withColumn("weight", F.lit(1.0))
     else:
         table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
-        weighed = n.join(F.broadcast(table.withColumnRenamed("source", "named")), F.col("source").eqNullSafe(F.col("named"))).drop("named").where("weight > 0")
+        named = table.withColumnRenamed("source", "named")
+        weighed = n.join(F.broadcast(named) if len(weights) <= BROADCAST_SOURCES else named, F.col("source").eqNullSafe(F.col("named"))).drop("named").where("weight > 0")
     sums = weighed.agg(F.sum("weight").alias("w"), F.sum("n_rows").alias("n")).first()
     share = F.col("weight") / F.lit(sums["w"] or 1.0)
     return weighed.select("source", "n_rows", (share * F.lit(float(sums["n"] or 0)) / F.col("n_rows")).alias("rate"))
@@ -93,4 +96,6 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed:
     blocks = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1, F.lit(COPIES_A_BLOCK))))
     copies = blocks.withColumn(copy, F.explode(F.sequence(F.col(copy), F.least(F.col(copy) + (COPIES_A_BLOCK - 1), F.col(n_copies) - 1))))
     placed = copies.withColumn(place, uniform(F.lit(f"{seed} place"), key, F.col(copy).cast("string")))
-    return placed.orderBy(place, "doc_id", copy)
+    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.least(F.floor(F.col(place) * slices), F.lit(slices - 1)).cast("int")
+    return placed.repartitionById(slices, own).sortWithinPartitions(place, "doc_id", copy)
