@@ -42,6 +42,18 @@ def test_search_equals_brute_force(spark):
         assert Counter(map(tuple, found.collect())) == want
 
 
+def test_search_with_a_row_that_repeats(spark):
+    draw = random.Random(6)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    hot = [(61, [2.0, 2.0, 2.0, 2.0])] * 3 + [(62, [1.5, 1.5, 1.5, 1.5])] * 4000 + [(65, [1.0, 1.0, 1.0, 1.0])] * 4000
+    vectors = spark.createDataFrame(rows + hot, "vec_id long, embedding array<double>")
+    want = plain_search(rows + hot, lambda i: i % 5 == 0, 5)
+    found = cover_tree.top_k(vectors, F.col("vec_id") % 5 == 0, block_rows=60, query_rows=25)
+    assert Counter(map(tuple, found.collect())) == want
+    sent = cover_tree.at_most(cover_tree.integer_vectors(vectors), 5).groupBy("vec_id").count()
+    assert {r["vec_id"]: r["count"] for r in sent.collect()} == {i: 1 for i in range(60)} | {61: 3, 62: 5, 65: 5}
+
+
 def test_search_with_few_rows(spark):
     kind = "vec_id long, embedding array<float>"
     assert cover_tree.top_k(spark.createDataFrame([], kind), F.col("vec_id") % 5 == 0).count() == 0

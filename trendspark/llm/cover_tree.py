@@ -8,7 +8,9 @@ pair go to one window for each query, which keeps k rows for each query on the m
 
 Scale: work is queries x rows at worst, as for any exact search, in independent pieces of
 ``block_rows`` x ``query_rows``; each row is sent once for each query block and each query once
-for each row block. No side is broadcast and no group grows with the data.
+for each row block. No side is broadcast and no group grows with the data: rows are counted by id
+and vector first, and of those that repeat one row k copies are sent, which is all that a list of
+k can hold.
 
 Results: components x become floor(scale * x), as 64-bit integers (saturating), and scores are
 exact integers as long as they fit in 64 bits (beyond, they saturate). Vectors that are null or
@@ -208,6 +210,12 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return finite.select("vec_id", F.transform("x", lambda c: F.floor(c.cast("double") * F.lit(float(scale)))).alias("v"))
 
 
+def at_most(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with at most k copies of each (vec_id, v), counted on the map side first."""
+    counted = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("nth"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows of ``vectors`` (vec_id, embedding) where
     ``is_query`` holds (a condition on vec_id), the k other rows with the largest inner product."""
@@ -216,8 +224,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     data_blocks, query_blocks = _blocks(n["rows"], block_rows), _blocks(n["queries"], query_rows)
     spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select(spread(data_blocks).alias("d"), every(query_blocks).alias("q"), "vec_id", "v")
-    asked = rows.where(is_query).select(every(data_blocks).alias("d"), spread(query_blocks).alias("q"), "vec_id", "v")
+    few = at_most(rows, k)
+    data = few.select(spread(data_blocks).alias("d"), every(query_blocks).alias("q"), "vec_id", "v")
+    asked = few.where(is_query).where("nth = 1").select(every(data_blocks).alias("d"), spread(query_blocks).alias("q"), "vec_id", "v")
 
     def pair(key, left, right):
         import pandas as pd
