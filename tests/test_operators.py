@@ -138,3 +138,14 @@ def test_channel_mean_of_a_small_table(spark):
     rows = {r["video_id"]: (r["channel_avg_engagement"], r["relative_engagement"]) for r in channel_features(df).collect()}
     assert rows == {1: (2.0, 0.5), 2: (2.0, 1.5), 3: (5.0, 1.0)}
     assert channel_features(df, min_rows=100).where("channel_avg_engagement is not null").count() == 0
+
+
+def test_channel_whose_scores_are_all_zero(spark):
+    import math
+
+    from trendspark.plans.features import channel_features
+
+    df = spark.createDataFrame([(1, "a", 0.0), (2, "a", 0.0), (3, "b", 2.0), (4, "b", 6.0), (5, "c", None)], "video_id int, channel_id string, engagement_score double")
+    got = {r["video_id"]: r for r in channel_features(df).collect()}
+    assert got[1]["channel_avg_engagement"] == 0.0 and math.isnan(got[1]["relative_engagement"]) and math.isnan(got[2]["relative_engagement"])
+    assert got[3]["relative_engagement"] == 0.5 and got[4]["relative_engagement"] == 1.5 and got[5]["relative_engagement"] is None
