@@ -285,3 +285,48 @@ def test_features_that_share_a_base_column_leak(spark, points):
     means.write.parquet(path)
     stored = points.withColumn("g", F.col("id") % 7).join(spark.read.parquet(path), "g").withColumn("score", F.col("a") * 2)
     assert LN.leaking(stored, "score", ["g_mean", "c"]) == [] and LN.leaking(stored, "score", ["g_mean", "c"], learned={"g_mean": ["a"]}) == ["g_mean"]
+
+
+def test_logistic_search_equals_fits_of_each_draw(spark, points):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from trendspark.ml import logit as LG
+
+    rows = points.drop("label").withColumn("label", (F.col("y") > 0).cast("double")).withColumn("same", F.lit(3.0))
+    own = ["a", "b", "c", "same"]
+    draws = [{"C": 1, "elasticNetParam": 0.0, "maxIter": 100}, {"C": 0.1, "elasticNetParam": 1.0, "maxIter": 500}, {"C": 10, "elasticNetParam": 0.5, "maxIter": 100}, {"C": 1, "elasticNetParam": 0.0, "maxIter": 2000}]
+    found = {r["draw"]: r for r in LG.search(spark, rows, own, draws, "id", 3).collect()}
+    data = TU.with_folds(rows, "id", 3)
+    for i, d in enumerate(draws):
+        scores = []
+        for k in range(3):
+            est = MD.classifier("logistic", n_train=data.count(), C=d["C"], elasticNetParam=d["elasticNetParam"], maxIter=2000, tol=1e-10)
+            pred = MD.fit(data.where(F.col("fold") != k), own, est).transform(data.where(F.col("fold") == k))
+            pred = pred.withColumn("score", vector_to_array("rawPrediction")[1])
+            scores.append(MD.classification_metrics(pred).first()["auc"])
+        assert found[i]["mean_test_score"] == pytest.approx(np.mean(scores), abs=1e-3)
+        assert found[i]["std_test_score"] == pytest.approx(np.std(scores), abs=1e-3)
+
+
+def test_shared_logistic_fits_have_sparks_weights(spark, points):
+    from trendspark.ml import logit as LG
+
+    rows = points.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate("abc")], (F.col("y") > 0).cast("double").alias("label"), F.lit(0).alias("fold"))
+    s = rows.agg(*[f(f"c{i}") for i in range(3) for f in (F.avg, F.stddev_pop)]).first()
+    mean, sd = np.array(s[0::2]), np.array(s[1::2])
+    models = [(0.01, 0.0, 100, -1), (0.02, 1.0, 100, -1), (0.01, 0.5, 100, -1)]
+    w, steps = LG.fit_models(rows, 3, mean, sd, models)
+    for (reg, mix, _, _), own in zip(models, w):
+        est = MD.classifier("logistic", regParam=reg, elasticNetParam=mix, maxIter=2000, tol=1e-12)
+        model = MD.fit(rows, ["c0", "c1", "c2"], est).stages[-1]
+        assert own[1:] / sd == pytest.approx(model.coefficients.toArray(), rel=2e-3, abs=1e-5)
+        assert own[0] - (own[1:] / sd) @ mean == pytest.approx(model.intercept, rel=2e-3, abs=1e-3)
+    assert steps.max() < 30
+
+
+def test_a_search_of_logistic_draws_makes_no_fit_of_its_own(spark, points, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda *a: pytest.fail("a fit for one draw"))
+    found = TU.random_search(spark, points.withColumn("label", (F.col("y") > 0).cast("double")), ["a", "b"], MD.classifier("logistic", n_train=240), TU.LOGISTIC_SPACE, "classification", "id", 6, 3)
+    assert found.count() == 6 and 0.5 < found.first()["mean_test_score"] <= 1
