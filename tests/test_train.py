@@ -330,3 +330,36 @@ def test_a_search_of_logistic_draws_makes_no_fit_of_its_own(spark, points, monke
     monkeypatch.setattr(LogisticRegression, "_fit", lambda *a: pytest.fail("a fit for one draw"))
     found = TU.random_search(spark, points.withColumn("label", (F.col("y") > 0).cast("double")), ["a", "b"], MD.classifier("logistic", n_train=240), TU.LOGISTIC_SPACE, "classification", "id", 6, 3)
     assert found.count() == 6 and 0.5 < found.first()["mean_test_score"] <= 1
+
+
+def test_titles_are_made_once_and_varied_rows_keep_them(spark, monkeypatch):
+    rows = videos(spark, [(1, "Amazing 10 TIPS! (best)", "10", 7, 100, 30), (2, "", "20", 7, 300, 4000), (3, None, "10", 8, 0, 600), (4, " A  étÉ a_b WIN!? a ", "1", 8, 5, 90)])
+    own = FT.row_features(rows, ["video_id"])
+    names = sorted(own.columns)
+    titled = FT.with_titles(rows).drop("title")
+    assert own.select(names).exceptAll(FT.row_features(titled, ["video_id"], titled=True).select(names)).count() == 0
+    from trendspark.functions import text as TX
+    plain = TX.title_features("title")
+    assert rows.select("video_id", *[c.alias(n) for n, c in plain.items()]).exceptAll(TX.with_title_features(rows).select("video_id", *plain)).count() == 0
+
+
+def test_whole_numbers_round_alike(spark):
+    from trendspark.catalog.registry import rounded
+
+    df = spark.createDataFrame([(v,) for v in (0.0, -0.0, 1.0, -3.0, 0.1234567, -0.00000001, 1e300, float("inf"), None)], "x double")
+    assert rounded(df, 6, often_whole=True).exceptAll(rounded(df, 6)).count() == 0
+
+
+def test_a_table_small_in_bytes_uses_all_cores(spark):
+    from trendspark.session import materialize
+
+    cores = spark.sparkContext.defaultParallelism
+    assert materialize(spark, spark.range(40000).repartition(8), "rows").rdd.getNumPartitions() == cores
+    assert materialize(spark, spark.range(40).repartition(8), "rows").rdd.getNumPartitions() == 1
+
+
+def test_independent_fits_run_side_by_side(spark):
+    import threading
+
+    both = threading.Barrier(2, timeout=30)
+    assert set(MD.side_by_side(spark, {"a": both.wait, "b": both.wait})) == {"a", "b"}
