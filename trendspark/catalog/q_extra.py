@@ -172,13 +172,15 @@ def ml_sensitivity_sweeps(spark, sf):
     parts = GR.fold_sums(train, own, "views_per_hour_log", F.lit(0), 1)
     w, b = parts[0].ridge(1.0)
     model = GR.RidgeModel(own, w.tolist(), b)
-    rows = FT.row_features(A.wide_videos(spark, sf), ["video_id"])
+    # written once: the fit reads them several times, and each sweep all requests (a title stays as it is in all of them)
+    rows = materialize(spark, FT.row_features(A.wide_videos(spark, sf), ["video_id"]).select("category_id", "duration_bin", "_channel", *[c for c in FT.NORMALIZED if not c.startswith("channel_")]), "sweep-rows")
     fitted = FT.fit(rows, scratch_path(spark, "sweep-parameters"))
     asked = A.requests(spark, sf).select("doc_id", "title", "category_id", "duration_seconds", "publish_hour", "publish_weekday", "publish_month", F.size("tags").alias("tag_count"))
+    asked = materialize(spark, FT.with_titles(asked).drop("title"), "sweep-requests")
     out = None
     for name, values in SWEEPS.items():
         varied = asked.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values]))).withColumn("value", F.col(name).cast("string"))
-        wide = fitted.transform(FT.row_features(varied, ["doc_id", "value"]), ["doc_id", "value"])
+        wide = fitted.transform(FT.row_features(varied, ["doc_id", "value"], titled=True), ["doc_id", "value"])
         scored = wide.select("value", *[F.col(c).alias(f"f_{c}") for c in fitted.columns]).select("value", model.column().alias("p"))
         means = scored.groupBy("value").agg(F.avg("p").alias("mean_prediction"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("attribute"), "value", "mean_prediction", "n")
         out = means if out is None else out.unionByName(means)
