@@ -110,6 +110,39 @@ def test_perfect_hash_is_minimal_and_heap_is_plain_merging():
         assert bpe_codec.heap_merge(word, ranks) == plain(word)
 
 
+def test_codec_keeps_little_for_each_known_word():
+    import tracemalloc
+
+    r = random.Random(7)
+    codec = bpe_codec.Codec(vocab.default_path(bpe_codec.VOCABULARY))
+    words = [[" " + "".join(r.choice("abdeinorst") for _ in range(7)) for _ in range(3000)] for _ in range(15)]
+    codec.encode(["".join(words[0])])
+    tracemalloc.start()
+    for some in words[1:]:
+        flat, size = codec.encode(["".join(some)])
+        assert codec.decode(flat.tolist()) == "".join(some).encode() and size.tolist() == [len(flat)]
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 100 * len({w for some in words[1:] for w in some})
+
+
+def test_known_words_under_colliding_hashes_and_when_full():
+    known = bpe_codec.Known(most=100, most_bytes=400)
+    truth, words = {}, [b"%d" % i for i in range(90)]
+    for some in (words[:30], words[20:60], words[:60], words[60:]):
+        hashes = np.array([int(w) % 7 for w in some], np.uint64)  # most words share theirs with others
+        got = known.get(some, hashes)
+        assert all(x is None or x == truth[w] for w, x in zip(some, got, strict=True)) and (some is not words[:60] or any(got))
+        new = [k for k, x in enumerate(got) if x is None]
+        truth |= {some[k]: some[k] * 4 for k in new}
+        known.put([some[k] for k in new], hashes[new], [some[k] * 4 for k in new])
+        assert len(known) <= 100 and len(known.words) <= 400
+    own = np.arange(90, dtype=np.uint64)
+    known.clear()
+    known.put(words[::-1], own[::-1], [w * 4 for w in words[::-1]])
+    assert known.get(words, own) == [w * 4 for w in words] and known.get([b"x"], own[5:6]) == [None]
+
+
 def frames_of(rows, tok):
     order = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     return [(r.doc_id, np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in order]

@@ -4,9 +4,11 @@ Tier one: a minimal perfect hash over the vocabulary (hash and displace: as many
 tokens, one comparison for each lookup) resolves pre-tokens that are tokens as a whole.
 Tier two: other pre-tokens are merged by a heap of ranked pairs over a doubly linked list of
 byte spans, so a pre-token of n bytes takes O(n log n). Results of different pre-tokens are
-kept in a bounded cache of the Python worker. Decoding concatenates the bytes of the ids.
+kept in a bounded cache of the Python worker, in flat arrays. Decoding concatenates the bytes of the ids.
 
-There is no shuffle and no state between tasks; memory is bounded by a chunk of texts.
+There is no shuffle and no state between tasks but that cache; a worker holds the vocabulary, an Arrow
+batch, about ``CHUNK_BYTES`` of its texts as Python strings, and at most ``KNOWN`` pre-tokens of about
+50 bytes each.
 
 Results: null text is empty (no ids, the hash of no bytes); texts of any length are encoded
 whole; every input row gives one row, repeated ids included; a null id stays null; an empty
@@ -24,9 +26,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trendspark.llm import pieces, vocab
-from trendspark.llm.common import chunks, held, release
+from trendspark.llm.common import byte_texts, held, release
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+CHUNK_BYTES = 1 << 19
+KNOWN, KNOWN_BYTES = 200_000, 1 << 23  # entries of the cache, and bytes of their pre-tokens
 
 
 def mixed(h: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -73,9 +77,9 @@ class PerfectHash:
 
         return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def candidates(self, words: list[bytes]) -> list[int]:
+    def candidates(self, words: list[bytes], hashes: np.ndarray | None = None) -> list[int]:
         """For each word the only token that it can be."""
-        h = self.hashes(words)
+        h = self.hashes(words) if hashes is None else hashes
         d = self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]
         slot = np.where(d < 0, -d - 1, (mixed(h, np.maximum(d, 0)) % np.uint64(self.slots)).astype(np.int64))
         return self.token[slot].tolist()
@@ -106,6 +110,44 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Known:
+    """A cache from pre-tokens to packed ids: sorted hashes, and the words and ids themselves one after the
+    other, a quarter of what a dict of strings takes. A hash only says where to look; the words are
+    compared. It is emptied when full."""
+
+    def __init__(self, most: int = KNOWN, most_bytes: int = KNOWN_BYTES):
+        self.most, self.most_bytes = most, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.words, self.ids = bytearray(), bytearray()
+        self.word_at, self.id_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.entry)
+
+    def get(self, words: list[bytes], hashes: np.ndarray) -> list[bytes | None]:
+        if not len(self):
+            return [None] * len(words)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        e = self.entry[place]
+        spans = zip(words, (self.hashes[place] == hashes).tolist(), *(x.tolist() for at in (self.word_at, self.id_at) for x in (at[e], at[e + 1])), strict=True)
+        return [bytes(self.ids[c:d]) if same and self.words[a:b] == w else None for w, same, a, b, c, d in spans]
+
+    def put(self, words: list[bytes], hashes: np.ndarray, ids: list[bytes]) -> None:
+        if len(self) + len(words) > self.most or len(self.words) + sum(map(len, words)) > self.most_bytes:
+            self.clear()
+        order = np.argsort(hashes, kind="stable")
+        to = np.searchsorted(self.hashes, hashes[order])
+        self.entry = np.insert(self.entry, to, (len(self) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, to, hashes[order])
+        ends = lambda at, parts: np.append(at, at[-1] + np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        self.word_at, self.id_at = ends(self.word_at, words), ends(self.id_at, ids)
+        self.words += b"".join(words)
+        self.ids += b"".join(ids)
+
+
 class Codec:
     """Encoder and decoder for one file of ranks."""
 
@@ -115,22 +157,27 @@ class Codec:
         if [self.ranks[t] for t in self.tokens] != list(range(len(self.tokens))):
             raise ValueError("ids must run from 0 without a gap")
         self.whole = PerfectHash(self.tokens)
-        self.known: dict[str, bytes] = pieces.Bounded()
+        self.known = Known()
 
-    def learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        for word, b, i in zip(words, raw, self.whole.candidates(raw) if raw else [], strict=True):
-            ids = [i] if self.tokens[i] == b else heap_merge(b, self.ranks)
-            self.known[word] = np.array(ids, np.uint32).tobytes()
+    def merged(self, words: list[bytes], hashes: np.ndarray) -> list[bytes]:
+        """Packed ids of each word."""
+        found = zip(words, self.whole.candidates(words, hashes), strict=True)
+        return [np.array([i] if self.tokens[i] == w else heap_merge(w, self.ranks), np.uint32).tobytes() for w, i in found]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         cut_up = pieces.Pieces(texts)
-        known = self.known
-        new = [w for w in cut_up.different if w not in known]
-        known.room(len(new))
-        self.learn(new if known else cut_up.different)
-        return cut_up.ids([known[w] for w in cut_up.different])
+        words = [w.encode() for w in cut_up.different]
+        hashes = self.whole.hashes(words)
+        ids = self.known.get(words, hashes)
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            own = [words[k] for k in new]
+            made = self.merged(own, hashes[new])
+            self.known.put(own, hashes[new], made)
+            for k, x in zip(new, made, strict=True):
+                ids[k] = x
+        return cut_up.ids(ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -167,14 +214,13 @@ def _mapped(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
 
         own = codec(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names = batch.column("doc_id").to_pylist()
-            for a, b in chunks(texts, pieces.CHUNK_CHARS):
-                flat, size = own.encode(texts[a:b])
-                packed, as_list, out, at = flat.astype("<u4").tobytes(), flat.tolist(), [], 0
-                for k, n in zip(range(a, b), size.tolist(), strict=True):
-                    one = row(packed[4 * at : 4 * (at + n)], lambda at=at, n=n: own.decode(as_list[at : at + n]))
-                    out.append({"doc_id": names[k]} | one)
+            names = batch.column("doc_id")
+            for a, texts in byte_texts(batch.column("text"), CHUNK_BYTES):
+                flat, size = own.encode([t.decode() for t in texts])
+                packed, out, at = flat.astype("<u4").tobytes(), [], 0
+                for name, n in zip(names.slice(a, len(texts)).to_pylist(), size.tolist(), strict=True):
+                    one = row(packed[4 * at : 4 * (at + n)], lambda at=at, n=n: own.decode(flat[at : at + n].tolist()))
+                    out.append({"doc_id": name} | one)
                     at += n
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
         release()
