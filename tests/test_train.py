@@ -9,9 +9,10 @@ import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from trendspark.ml import deep_forest as DF
 from trendspark.ml import feature_table as FT
 from trendspark.ml import gram as GR
 from trendspark.ml import grid as GD
@@ -363,3 +364,42 @@ def test_independent_fits_run_side_by_side(spark):
 
     both = threading.Barrier(2, timeout=30)
     assert set(MD.side_by_side(spark, {"a": both.wait, "b": both.wait})) == {"a", "b"}
+
+
+# --- deep forests ---------------------------------------------------------------------------------
+
+def test_a_tree_of_the_deep_forest_is_sparks(spark):
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 12, size=(600, 3)).astype(float)
+    y = x[:, 0] * x[:, 1] + 3 * (x[:, 2] > 5) + draw.normal(size=600)
+    rows = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(600)], "id long, a double, b double, c double, label double").cache()
+    found = []
+    for est in (DF.DeepForestRegressor(numTrees=1, maxDepth=4, featureSubsetStrategy="all", bootstrap=False), DecisionTreeRegressor(maxDepth=4)):
+        found.append(MD.fit(rows, ["a", "b", "c"], est).transform(rows).orderBy("id").select("prediction").toPandas().prediction.to_numpy())
+    assert len(set(found[0])) > 10 and np.allclose(*found)
+
+
+def test_a_deep_forest_does_not_depend_on_where_its_nodes_are_split(spark, points, monkeypatch):
+    train = points.where("not is_test").withColumn("label", F.col("y"))
+    asked = points.withColumn("a", F.when(F.col("id") == 7, float("nan")).otherwise(F.col("a")))
+    found = {}
+    for local in (1000, 40):  # rows of the largest node that one task may finish
+        monkeypatch.setattr(DF, "LOCAL", local)
+        model = MD.fit(train, ["a", "b", "c"], MD.regressor("random_forest", deep=True, numTrees=7))
+        forest = model.stages[-1]
+        sizes = [r for top in forest.tops for r in top.rows if r]
+        assert max(sizes) <= local and forest.subtrees(spark).count() == len(sizes)
+        found[local] = model.transform(asked).orderBy("id").select("id", "y", "prediction").toPandas()
+    assert len(sizes) > 7 and found[40].id.tolist() == list(range(240))
+    assert np.allclose(found[1000].prediction, found[40].prediction)
+    assert np.corrcoef(found[40].prediction, found[40].y)[0, 1] > 0.8
+
+
+def test_the_deep_forest_takes_odd_tables(spark):
+    rows = spark.createDataFrame([(float(i % 2), 1.0, 5.0) for i in range(10)], "a double, b double, label double")
+    est = MD.regressor("random_forest", deep=True, numTrees=3)
+    model = MD.fit(rows, ["a", "b"], est)
+    assert {r["prediction"] for r in model.transform(rows).collect()} == {5.0}
+    assert model.transform(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="no rows"):
+        MD.fit(rows.limit(0), ["a", "b"], est)
