@@ -403,3 +403,42 @@ def test_the_deep_forest_takes_odd_tables(spark):
     assert model.transform(rows.limit(0)).count() == 0
     with pytest.raises(ValueError, match="no rows"):
         MD.fit(rows.limit(0), ["a", "b"], est)
+
+
+# --- vectors written once -------------------------------------------------------------------------
+
+def test_cells_take_their_features_out_of_vectors_written_once(spark, points, monkeypatch):
+    table, root = grid_table(points), folder()
+    made, fitted, real = [], [], MD.fit
+    with_vector = MD.with_vector
+    monkeypatch.setattr(MD, "with_vector", lambda *a: made.append(a[1]) or with_vector(*a))
+    monkeypatch.setattr(MD, "fit", lambda df, features, est: fitted.append((df.columns, tuple(features))) or real(df, features, est))
+    wanted = [GD.Cell("engagement_score", a, "regression") for a in ("linear", "random_forest")] + [GD.Cell("is_viral", "logistic", "classification")]
+    s = GD.Settings(["a", "b", "c"], {"engagement_score": ["b"]}, {"random_forest": {"numTrees": 3, "maxDepth": 3}}, key="id")
+    out = {r.cell: r for r in GD.train_all(spark, table, wanted, root, s, ensemble=True).collect()}
+    assert {r.status for r in out.values()} == {"done"} and made == [["a", "b", "c"]]
+    assert sorted(f for _, f in fitted) == [("a", "b", "c"), ("a", "c"), ("a", "c")] and all("features" in c for c, _ in fitted)
+    # the stored models take named columns, and give the metrics that a fit on named columns gives
+    rows = table.where("engagement_score is not null").withColumn("label", F.col("engagement_score").cast("double"))
+    model = RG.load_model(f"{root}/models", "engagement_score_linear")
+    assert model.stages[0].getInputCols() == ["a", "c"]
+    plain = MD.regression_metrics(real(rows.where("not is_test"), ["a", "c"], GD._estimator(wanted[0], rows.where("not is_test"), {})).transform(rows.where("is_test"))).first()
+    stored = MD.regression_metrics(model.transform(rows.where("is_test"))).first()
+    assert plain["mse"] == pytest.approx(stored["mse"], rel=1e-9) == out["engagement_score_linear"].metrics["mse"]
+
+
+def test_a_search_puts_its_vectors_together_once(spark, points, monkeypatch):
+    made, with_vector = [], MD.with_vector
+    monkeypatch.setattr(MD, "with_vector", lambda *a: made.append(a[1]) or with_vector(*a))
+    rows = PX.prepared(points, ["a", "b", "c"], "id", 2)
+    for algorithm, draws in (("random_forest", [{"numTrees": 2, "maxDepth": 2}, {"numTrees": 4, "maxDepth": 3}]), ("gradient_boosting", [{"maxIter": 2, "maxDepth": 2}])):
+        found, model, _ = PX.search(spark, points, ["a", "b", "c"], algorithm, "classification", "id", draws, folds=2, rows=rows)
+        assert found.count() == len(draws) and model.transform(points).count() == 240
+    assert len(made) == 1
+
+
+def test_leaks_of_many_targets_read_a_plan_once(spark, points, monkeypatch):
+    df = points.select("a", "b", (F.col("a") + 1).alias("t"), (F.col("b") * 2).alias("u"))
+    read, base = [], LN.base_columns
+    monkeypatch.setattr(LN, "base_columns", lambda d: read.append(1) or base(d))
+    assert LN.leaking_each(df, ["t", "u"], ["a", "b"]) == {"t": ["a"], "u": ["b"]} and len(read) == 1
