@@ -437,6 +437,14 @@ def test_a_search_puts_its_vectors_together_once(spark, points, monkeypatch):
     assert len(made) == 1
 
 
+def test_trees_are_walked_once_for_a_score(spark, points):
+    rows = PX.prepared(points, ["a", "b"], "id", 2)
+    model = MD.classifier("random_forest", numTrees=3, maxDepth=2).fit(rows)
+    scored = PX._scored(rows, PX.Trees.of(spark, model, "random_forest", "classification"), 0, [1, 3], "classification")
+    assert scored.count() == 4
+    assert "MapInArrow" not in scored._jdf.queryExecution().optimizedPlan().toString()  # walked already, read from what was written
+
+
 def test_leaks_of_many_targets_read_a_plan_once(spark, points, monkeypatch):
     df = points.select("a", "b", (F.col("a") + 1).alias("t"), (F.col("b") * 2).alias("u"))
     read, base = [], LN.base_columns
